@@ -75,6 +75,10 @@ def judged(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col
     return rows, examples.select(F.col("id").alias("id2"), F.col("key").alias("key2"), "examples")
 
 
+def _counted(kind: str) -> Column:
+    return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint")
+
+
 def _live(found: Column, examples: Column) -> Column:
     return F.filter(found, lambda x: ~F.coalesce(F.array_contains(examples, F.xxhash64(x["secret"])), F.lit(False)))
 
@@ -86,7 +90,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     rows = rows.select(
         "id",
         "key",
-        *[F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base],
+        *[_counted(k).alias(f"n_{k}") for k in base],
         F.sha2(_joined(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
         F.transform("found", lambda x: F.xxhash64(x["secret"])).alias("hs"),
