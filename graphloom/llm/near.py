@@ -39,10 +39,8 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160)
     """(bands, rows): the most rows, for the fewest false candidates, that reach the recall within so many hashes."""
     best = (most, 1)
     for rows in range(1, most + 1):
-        number = 1
-        while 1 - (1 - threshold**rows) ** number < recall:
-            number += 1
-        if rows * number <= most:
+        number = next((n for n in range(1, most // rows + 1) if 1 - (1 - threshold**rows) ** n >= recall), None)
+        if number:
             best = (number, rows)
     return best
 
