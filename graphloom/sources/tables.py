@@ -10,7 +10,18 @@ from graphloom.sources.catalog import PropertyGraph
 NODES = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
 
 
+#: Graphs by application and folder: a graph holds plans, not rows, and reading the tables' schemas is worth doing once.
+_graphs: dict[tuple[str, str], PropertyGraph] = {}
+
+
 def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = _table_graph(spark, sf_dir)
+    return _graphs[key]
+
+
+def _table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     g = PropertyGraph(spark)
     for label, (name, key) in NODES.items():
