@@ -30,7 +30,7 @@ from graphloom.llm.common import chunks, persisted, sized
 from graphloom.llm.components import components
 from graphloom.llm.words import mix, shingles, split
 
-SIZE, THRESHOLD, RECALL = 5, 0.8, 0.995
+SIZE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK = 384
 _U = np.uint64
 
