@@ -244,5 +244,7 @@ def _links(docs: DataFrame, wanted: DataFrame, size: int, threshold: float, bloc
     rows = rows.select("rep", "flat", F.col("places.bucket").alias("buckets"), F.explode("places").alias("p")).select("rep", "flat", "buckets", F.col("p.bucket").alias("bucket"), F.greatest(F.lit(1), F.ceil(F.col("p.members") / block)).cast("int").alias("blocks"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "own", "flat", "buckets").dropDuplicates(["bucket", "lo", "hi", "rep"])
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "own", "flat", "buckets")
+    # All classes of a pair of blocks come to one task; dropDuplicates keeps this partitioning.
+    rows = rows.repartition("bucket", "lo", "hi").dropDuplicates(["bucket", "lo", "hi", "rep"])
     return rows.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "a bigint, links bigint, b bigint")

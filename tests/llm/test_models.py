@@ -57,3 +57,23 @@ def test_groups_of_a_chain(spark):
         assert got[i]["n_links"] == sum(o != s and len(o & s) >= 0.8 * len(o | s) for o in sets.values())
         assert got[i]["class_id"] == 5
     assert got[99]["class_id"] == 99 and got[99]["n_links"] == 0
+
+
+def test_links_over_many_partitions(spark):
+    texts = {i: [f"g{i // 3}w{k}" for k in range(60)] for i in range(90)}
+    for i, w in texts.items():
+        w[0], w[-1] = f"first{i % 3}", "last" if i % 3 else "end"
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r for r in near.joined(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(56)} for i, w in texts.items()}
+    for i, s in sets.items():
+        near_ones = [j for j, o in sets.items() if j != i and len(o & s) >= 0.8 * len(o | s)]
+        assert len(near_ones) == 2 and got[i]["n_links"] == 2 and got[i]["class_id"] == min([i, *near_ones])
