@@ -2,7 +2,7 @@
 
 The automaton is built on the driver from the test items. Items are few and small; if their texts exceed
 SHARD_BYTES, they are dealt into shards of about that size, each with an automaton and a pass of its own, so that no
-task ever holds more than one shard.
+task ever holds more than one shard. Every pass reads the original texts; hit spans of all shards are merged.
 
 Cases: a null or empty text, or one without words, has n_words 0 and no hit; a null item has no words and no window;
 repeated items are one item; repeated documents are judged alike, each in its own row; an empty benchmark hits nothing.
@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from graphloom.llm.common import chunks, persisted
 from graphloom.llm.words import LOW, HashIndex, Words, hashed, mix, split
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
+_SPANS = "#spans"
 
 
 class Automaton:
@@ -250,36 +252,71 @@ def decontaminated(
 ) -> DataFrame:
     """docs with the hit spans cut out of their texts; documents of which more than max_coverage of the words are hit go.
 
-    A cut leaves a line break. An n_chars column follows the text.
+    A cut leaves a line break. An n_chars column follows the text. Spans of all shards are gathered on the original text, and
+    coverage is taken and the text cut once, in the last shard's pass.
     """
     shards = list(automata(items, item_id, item_text, window, shard_bytes))
-    for k, a in enumerate(shards):
-
-        def clean(batches: Iterator[pa.RecordBatch], a=a) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = b.schema.get_field_index(text_col)
-                texts, keep, changed = b.column(at), np.ones(b.num_rows, bool), {}
-                for i, n, spans, where, _, _ in judged(texts, a.value):
-                    if spans:
-                        keep[i] = sum(hi - lo for lo, hi in spans) <= max_coverage * n
-                        data, parts, last = texts[i].as_py().encode(), [], 0
-                        for lo, hi in where:
-                            parts.append(data[last:lo])
-                            last = hi
-                        changed[i] = b"\n".join([*parts, data[last:]]).decode()
-                if changed:
-                    values = texts.to_pylist()
+    schema = docs.schema
+    for a in shards[:-1]:
+        docs = persisted(_marked(docs, a, text_col))
+    last_shard = shards[-1]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            texts, keep, changed = b.column(at), np.ones(b.num_rows, bool), {}
+            if (k := b.schema.get_field_index(_SPANS)) >= 0:
+                earlier = b.column(k).to_pylist()
+                b = b.remove_column(k)
+            else:
+                earlier = [[]] * b.num_rows
+            for i, n, spans, where, _, _ in judged(texts, last_shard.value):
+                if spans or earlier[i]:
+                    cuts = _merged([*([*x, *y] for x, y in zip(spans, where, strict=True)), *earlier[i]])
+                    keep[i] = sum(hi - lo for lo, hi, _, _ in cuts) <= max_coverage * n
+                    data, parts, last = texts[i].as_py().encode(), [], 0
+                    for _, _, lo, hi in cuts:
+                        parts.append(data[last:lo])
+                        last = hi
+                    changed[i] = b"\n".join([*parts, data[last:]]).decode()
+            if changed:
+                values = texts.to_pylist()
+                for i, x in changed.items():
+                    values[i] = x
+                b = b.set_column(at, b.schema.field(at), pa.array(values, texts.type))
+                if (k := b.schema.get_field_index("n_chars")) >= 0:
+                    sizes = b.column(k).to_pylist()
                     for i, x in changed.items():
-                        values[i] = x
-                    b = b.set_column(at, b.schema.field(at), pa.array(values, texts.type))
-                    if (k := b.schema.get_field_index("n_chars")) >= 0:
-                        sizes = b.column(k).to_pylist()
-                        for i, x in changed.items():
-                            sizes[i] = len(x)
-                        b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.column(k).type))
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-        if k < len(shards) - 1:
-            docs = persisted(docs)
-    return docs
+                        sizes[i] = len(x)
+                    b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.column(k).type))
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, schema)
+
+
+def _marked(docs: DataFrame, automaton, text_col: str) -> DataFrame:
+    """docs with the shard's hit spans (first and end in words, then in bytes of the text) added to their column _SPANS."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.schema.get_field_index(_SPANS)
+            spans = b.column(k).to_pylist() if k >= 0 else [[] for _ in range(b.num_rows)]
+            for i, _, words, where, _, _ in judged(b.column(text_col), automaton.value):
+                spans[i] = [*spans[i], *([*x, *y] for x, y in zip(words, where, strict=True))]
+            if k >= 0:
+                b = b.remove_column(k)
+            yield b.append_column(_SPANS, pa.array(spans, pa.list_(pa.list_(pa.int64()))))
+
+    fields = [x for x in docs.schema.fields if x.name != _SPANS]
+    return docs.mapInArrow(mark, StructType([*fields, StructField(_SPANS, ArrayType(ArrayType(LongType())))]))
+
+
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans in order, joined where they touch, as one automaton joins them."""
+    out: list[list[int]] = []
+    for x in sorted(spans):
+        if out and out[-1][1] >= x[0]:
+            out[-1][1], out[-1][3] = max(out[-1][1], x[1]), max(out[-1][3], x[3])
+        else:
+            out.append(list(x))
+    return out

@@ -84,6 +84,18 @@ def test_decontamination(spark, docs):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(found))
 
 
+def test_shards_cut_like_one_automaton(spark):
+    w = [f"p{i}" for i in range(40)]
+    rows = [(1, "clean start " + " ".join(w[:20]) + " and " + " ".join(f"own{i}" for i in range(30))), (2, " ".join(w) + " x y"), (3, "nothing here"), (4, None), (5, "a b c d " + " ".join(w[22:36]))]
+    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id bigint, text string, n_chars bigint")
+    items = spark.createDataFrame([(i, " ".join(w[lo:hi])) for i, (lo, hi) in enumerate([(0, 15), (5, 20), (12, 24), (15, 30), (22, 36), (28, 40)])], "item_id bigint, text string")
+    one = sorted(decontamination.decontaminated(docs, items).collect())
+    assert len(list(decontamination.automata(items, shard_bytes=60))) > 2
+    assert sorted(decontamination.decontaminated(docs, items, shard_bytes=60).collect()) == one
+    texts = {r["doc_id"]: r["text"] for r in one}
+    assert set(texts) == {1, 3, 4, 5} and not any(f"p{i}" in texts[1].split() for i in range(20))
+
+
 def test_packing(docs):
     rows = packing.packed(docs, **queries._vocabulary()).collect()
     spans, filled = {}, {}
