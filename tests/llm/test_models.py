@@ -77,3 +77,13 @@ def test_links_over_many_partitions(spark):
     for i, s in sets.items():
         near_ones = [j for j, o in sets.items() if j != i and len(o & s) >= 0.8 * len(o | s)]
         assert len(near_ones) == 2 and got[i]["n_links"] == 2 and got[i]["class_id"] == min([i, *near_ones])
+
+
+def test_every_gram_is_in_the_model(spark):
+    letters = np.random.default_rng(7).integers(97, 123, 450_000).astype(np.uint8)
+    rare = letters.tobytes().decode()
+    train = spark.createDataFrame([(rare, "rare")] + [("mola tara lomo bala", "small")] * 20, "text string, lang string")
+    model = languages.learned(train)
+    assert model.languages == ["rare", "small"]
+    grams = {("    " + t)[i : i + 5] for t in (rare, "mola tara lomo bala") for i in range(len(t))}
+    assert len(grams) > 400_000 and len(model.levels[-1][0].keys) == len(grams)
