@@ -56,6 +56,10 @@ PAIRS: dict[str, tuple[str, str]] = {
     "varlen_0_2": ("MATCH (a:Customer {c_custkey: 0})-[:KNOWS*0..2]->(b:Customer) RETURN b.c_custkey AS b", f"{_K}, a AS (SELECT dst b FROM knows WHERE src = 0) SELECT CAST(0 AS BIGINT) b UNION SELECT b FROM a UNION SELECT dst FROM a JOIN knows ON src = b"),
     "varlen_n": ("MATCH (a:Customer {c_custkey: 5})-[:KNOWS*2]->(b:Customer) RETURN b.c_custkey AS b", f"{_K}, a AS (SELECT dst b FROM knows WHERE src = 5) SELECT b FROM a UNION SELECT dst FROM a JOIN knows ON src = b"),
     "varlen_closure": ("MATCH (c:Customer {c_custkey: 3})-[:LIVES_IN|IN_REGION*]->(x) RETURN id(x) AS x, labels(x) AS l", "SELECT CAST(n_nationkey AS BIGINT) x, ['Nation'] l FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 3 UNION ALL SELECT CAST(n_regionkey AS BIGINT), ['Region'] FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 3"),
+    "varlen_1_3_all": ("MATCH (a:Customer)-[:KNOWS*1..3]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", f"{_K}, k2 AS (SELECT DISTINCT x.src, y.dst FROM knows x JOIN knows y ON x.dst = y.src) SELECT src a, dst b FROM knows UNION SELECT src, dst FROM k2 UNION SELECT k2.src, y.dst FROM k2 JOIN knows y ON k2.dst = y.src"),
+    "varlen_0_2_all": ("MATCH (a:Customer)-[:KNOWS*0..2]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", f"{_K} SELECT c_custkey a, c_custkey b FROM customer UNION SELECT src, dst FROM knows UNION SELECT x.src, y.dst FROM knows x JOIN knows y ON x.dst = y.src"),
+    "varlen_n_all": ("MATCH (a:Customer)-[:KNOWS*2]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", f"{_K} SELECT src a, dst b FROM knows UNION SELECT x.src, y.dst FROM knows x JOIN knows y ON x.dst = y.src"),
+    "varlen_closure_all": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION*]-(x) RETURN c.c_custkey AS c, id(x) AS x, labels(x) AS l", "SELECT c_custkey c, x, l FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN (SELECT n_regionkey k, CAST(n_nationkey AS BIGINT) x, ['Nation'] l FROM nation UNION ALL SELECT r_regionkey, CAST(r_regionkey AS BIGINT), ['Region'] FROM region) ON k = n.n_regionkey"),
     "join_shared_var": ("MATCH (c:Customer)-[:LIVES_IN]->(n), (s:Supplier)-[:BASED_IN]->(n) RETURN n.n_name AS n, count(*) AS c", "SELECT n_name n, count(*) c FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
     "cartesian": ("MATCH (a:Region), (b:Region) RETURN a.r_name AS a, b.r_name AS b", "SELECT a.r_name a, b.r_name b FROM region a, region b"),
     "optional_match": (f"MATCH (c:Customer) OPTIONAL MATCH {_URGENT} RETURN c.c_custkey AS c, o.o_orderkey AS o", f"SELECT c_custkey c, o_orderkey o FROM customer LEFT JOIN orders ON {_URGENT_SQL}"),

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from graphloom import queries
+from graphloom.sources.tables import table_graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,21 @@ def test_same_as_sql(spark, duck, name):
     want = duck.sql(queries.SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), want.columns)
+
+
+def test_closure_of_cycles_from_all_customers(spark, duck):
+    got = table_graph(spark, SF).query("MATCH (a:Customer)-[:KNOWS*]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b").collect()
+    edges = duck.sql(f"{queries._K} SELECT src, dst FROM knows").fetchall()
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for a in after:
+        todo = list(after[a])
+        while todo:
+            b = todo.pop()
+            if (a, b) not in want:
+                want.add((a, b))
+                todo += after.get(b, ())
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert all((a, a) in want for a in after)
