@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.sources.catalog import GraphError
+from graphloom.sources.catalog import AnalysisError
 
 Value = tuple[Column, str]
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -56,17 +56,27 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
 }
 
 
+def register(name: str, function: Callable[..., Column], kind: str = "string") -> None:
+    """Makes a function of columns, whose result has this type, known to queries; its name is read in any case."""
+    if name.lower() in AGGREGATES or name.lower() in ("id", "labels", "keys", "properties"):
+        raise AnalysisError(f"{name} is a built-in function")
+    FUNCTIONS[name.lower()] = lambda *xs: (function(*(x[0] for x in xs)), kind)
+
+
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     (x, s), (y, t) = a, b
     if op == "+" and "string" in (s, t):
         return F.concat(x.cast("string"), y.cast("string")), "string"
     if not all(is_number(k) or k == "void" for k in (s, t)):
-        raise GraphError(f"{op} needs numbers, not {s} and {t}")
+        raise AnalysisError(f"{op} needs numbers, not {s} and {t}")
     kind = "double" if "double" in (s, t) or "float" in (s, t) or op == "/" else "bigint"
     if op == "/":
         return F.try_divide(x.cast("double"), y.cast("double")), kind
     if op == "%":
-        return (x - y * F.floor(F.try_divide(x.cast("double"), y.cast("double")))).cast(kind), kind
+        # The remainder has the divisor's sign.
+        x, y = x.cast(kind), y.cast(kind)
+        rest = F.try_mod(x, y)
+        return F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest), kind
     return {"+": x + y, "-": x - y, "*": x * y}[op], kind
 
 

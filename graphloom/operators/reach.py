@@ -3,44 +3,59 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.catalog import GraphError
+
 PAIR = ["#s", "#sl", "#e", "#el"]
+#: Written levels after which a closure merges them into one table.
+MERGE = 32
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """df, written to the session's shared checkpoint folder and read back."""
+    """df, written to the session's shared checkpoint folder and read back. Only a local session may do without one."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise GraphError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 
 def reach(starts: DataFrame, edges: DataFrame, least: int, most: int | None) -> DataFrame:
     """Distinct (#s, #sl, #e, #el). starts: #id, #label, distinct; edges: #src, #src_label, #dst, #dst_label.
 
-    Each step joins the distinct frontier with the edges. Bounded lengths stay one lazy plan; unbounded ones go on from
-    newly reached pairs only, written out each round so that the plan doesn't grow.
+    Each step joins the distinct frontier with the edges. Bounded lengths stay one lazy plan, in which every step stands once: beyond
+    the least length a pair may also stay where it is, so that the last step holds all lengths. Unbounded ones go on from
+    newly reached pairs only, and write these once each round, so that the plan doesn't grow.
     """
-    edges = edges.select("#src", "#src_label", "#dst", "#dst_label").distinct()
+    edges = edges.select("#src", "#src_label", "#dst", "#dst_label")
     level = starts.select(F.col("#id").alias("#s"), F.col("#label").alias("#sl"), F.col("#id").alias("#e"), F.col("#label").alias("#el"))
 
-    def step(pairs: DataFrame) -> DataFrame:
-        return pairs.join(edges, (F.col("#e") == F.col("#src")) & (F.col("#el") == F.col("#src_label"))).select("#s", "#sl", F.col("#dst").alias("#e"), F.col("#dst_label").alias("#el")).distinct()
+    def step(pairs: DataFrame, stay: bool = False) -> DataFrame:
+        on = (F.col("#e") == F.col("#src")) & (F.col("#el") == F.col("#src_label"))
+        if not stay:
+            return pairs.join(edges, on).select("#s", "#sl", F.col("#dst").alias("#e"), F.col("#dst_label").alias("#el")).distinct()
+        ends = F.array(F.struct(F.col("#dst").alias("e"), F.col("#dst_label").alias("l")), F.struct(F.col("#e").alias("e"), F.col("#el").alias("l")))
+        both = pairs.join(edges, on, "left").select("#s", "#sl", F.explode(ends).alias("#to"))
+        return both.select("#s", "#sl", F.col("#to.e").alias("#e"), F.col("#to.l").alias("#el")).where(F.col("#e").isNotNull()).distinct()
 
     for _ in range(least):
         level = step(level)
     if most is not None:
-        out = level
         for _ in range(most - least):
-            level = step(level)
-            out = out.unionByName(level)
-        return out.distinct() if most > least else out
-    new = persisted(level)
-    seen = new
-    while not new.isEmpty():
-        new = persisted(step(new).join(seen, PAIR, "left_anti"))
-        seen = persisted(seen.unionByName(new))
-    return seen
+            level = step(level, stay=True)
+        return level
+    # Each round joins with the edges: they are made once.
+    edges = persisted(edges)
+    levels = [persisted(level)]
+    while not levels[-1].isEmpty():
+        if len(levels) > MERGE:
+            levels = [persisted(reduce(DataFrame.unionByName, levels[:-1])), levels[-1]]
+        seen = reduce(DataFrame.unionByName, levels)
+        levels.append(persisted(step(levels[-1]).join(seen, PAIR, "left_anti")))
+    return reduce(DataFrame.unionByName, levels)

@@ -27,16 +27,16 @@ def _table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     for label, (name, key) in NODES.items():
         g = g.add_nodes(label, t[name], key)
     line = t["lineitem"]
-    g = g.add_edges("PLACED", t["orders"].select("o_custkey", "o_orderkey"), "Customer", "o_custkey", "Order", "o_orderkey")
-    g = g.add_edges("CONTAINS", line.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "Order", "l_orderkey", "Part", "l_partkey")
-    g = g.add_edges("SOLD_BY", line.select("l_orderkey", "l_suppkey"), "Order", "l_orderkey", "Supplier", "l_suppkey")
-    g = g.add_edges("OFFERS", line.select("l_suppkey", "l_partkey").distinct(), "Supplier", "l_suppkey", "Part", "l_partkey")
-    g = g.add_edges("LIVES_IN", t["customer"].select("c_custkey", "c_nationkey"), "Customer", "c_custkey", "Nation", "c_nationkey")
-    g = g.add_edges("BASED_IN", t["supplier"].select("s_suppkey", "s_nationkey"), "Supplier", "s_suppkey", "Nation", "s_nationkey")
-    g = g.add_edges("IN_REGION", t["nation"].select("n_nationkey", "n_regionkey"), "Nation", "n_nationkey", "Region", "n_regionkey")
+    g = g.add_column_edges("PLACED", "Order", "o_custkey", "Customer", incoming=True, trusted=True)
+    g = g.add_edges("CONTAINS", line.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "Order", "l_orderkey", "Part", "l_partkey", trusted=True)
+    g = g.add_edges("SOLD_BY", line.select("l_orderkey", "l_suppkey"), "Order", "l_orderkey", "Supplier", "l_suppkey", trusted=True)
+    g = g.add_edges("OFFERS", line.select("l_suppkey", "l_partkey").distinct(), "Supplier", "l_suppkey", "Part", "l_partkey", trusted=True)
+    g = g.add_column_edges("LIVES_IN", "Customer", "c_nationkey", "Nation", trusted=True)
+    g = g.add_column_edges("BASED_IN", "Supplier", "s_nationkey", "Nation", trusted=True)
+    g = g.add_column_edges("IN_REGION", "Nation", "n_regionkey", "Region", trusted=True)
     # Customers are numbered from 0 without gaps: their number comes from the largest key, in the plan.
     n = t["customer"].agg((F.max("c_custkey") + 1).alias("n"))
     k = t["customer"].select("c_custkey").crossJoin(F.broadcast(n))
     near = F.array((F.col("c_custkey") * 7 + 1) % F.col("n"), (F.col("c_custkey") + 3) % F.col("n"), F.when(F.col("c_custkey") % 5 == 0, (F.col("c_custkey") - 3 + F.col("n")) % F.col("n")))
     knows = k.select(F.col("c_custkey").alias("src"), F.explode(near).alias("dst")).where("dst is not null").distinct()
-    return g.add_edges("KNOWS", knows, "Customer", "src", "Customer", "dst")
+    return g.add_edges("KNOWS", knows, "Customer", "src", "Customer", "dst", trusted=True)

@@ -4,6 +4,7 @@ import pytest
 
 from graphloom import GraphError, PropertyGraph
 
+# The people graph, and the answers below that follow from it.
 PEOPLE = [("1", "Alice", 30, "Engineer"), ("2", "Bob", 25, "Designer"), ("3", "Charlie", 35, "Manager"), ("4", "Diana", 28, "Engineer"), ("5", "Eve", 22, "Intern"), ("6", "Frank", 45, "Director")]
 LINKS = [("1", "KNOWS", "2"), ("1", "KNOWS", "4"), ("2", "KNOWS", "3"), ("2", "WORKS_WITH", "4"), ("3", "MANAGES", "1"), ("3", "MANAGES", "4"), ("4", "MENTORS", "5"), ("6", "MANAGES", "3")]
 

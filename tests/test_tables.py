@@ -24,7 +24,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(queries.PAIRS))
+@pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_same_as_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     want = duck.sql(queries.SQL[name])
