@@ -44,11 +44,14 @@ def ship(spark: SparkSession) -> None:
 def persisted(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back, so that its lineage ends there.
 
-    The folder is spark.checkpoint.dir of the session. Only where that is unset, as in tests, one is made here.
+    The folder is spark.checkpoint.dir of the session. Only a local session where that is unset, as in tests, gets one made here.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 

@@ -56,7 +56,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scanned(table(spark, sf_dir, "documents"))
+    # A source is an owner; its documents in one language are a repository.
+    return secrets.scanned(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"))
 
 
 def op9_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs)
+    """Live-looking secrets become a mask; every document stays. Repositories are as in op8_secrets."""
+    return secrets.redacted(docs, repo=F.concat_ws("/", "source", "lang"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
