@@ -11,7 +11,9 @@ ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (bigint). Rows node, root: every node that has a link, with the least node of its component.
+    """edges: a, b (of one type that has an order). Rows node, root: every node that has a link, with the least node of its component.
+
+    Cases: links of a node with itself are none; repeated links count once; nulls have no place here; without links there are no rows.
 
     Each round links every larger neighbour, and then every smaller one, to the least neighbour; rounds end when
     nothing changes. Each is two aggregations and joins on a node, whose minimum is taken before the shuffle; joins

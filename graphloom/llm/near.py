@@ -12,9 +12,12 @@
 
 A set is held as sorted 64-bit hashes of its shingles.
 
+A class is known by the 128-bit fingerprint of its set, not by an id, so that repeated and null ids mix nothing up.
+
 Cases: a text of fewer than five words, but not none, has one shingle of all its words; null and empty texts and those
 without words have no shingles: each is a group of its own, without links. Repeated rows are exact copies. The group's id is
-the least id in it.
+the least id in it, null if it has none. Rows of one id and different texts are judged apart. Very long texts are hashed whole; one
+is a chunk of its own. Other columns of the input are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from graphloom.llm.words import mix, shingles, split
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK = 384
+#: A class in order of its least id: the id (the largest number for none) and the fingerprint.
+_NODE = "struct<rep:bigint,fp1:bigint,fp2:bigint>"
 _U = np.uint64
 
 
@@ -125,10 +130,10 @@ def linked(sizes: np.ndarray, flat: np.ndarray, ends: np.ndarray, ask: np.ndarra
     return ask[both >= threshold * whole - 1e-9]
 
 
-def compared(ids: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, flat: np.ndarray, buckets: list[np.ndarray], bucket: int, pair: tuple[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes with links, their numbers of links, the least class that links lead to) within a bucket's blocks."""
+def compared(keys: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, flat: np.ndarray, buckets: list[np.ndarray], bucket: int, pair: tuple[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes with links, their numbers of links, the least class that links lead to) within a bucket's blocks: rows of keys."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    n = len(ids)
+    n = len(keys)
     # First kept bucket of each pair: buckets are numbered in order, each class has its own in order.
     x, y = np.triu_indices(n, 1)
     if pair[0] != pair[1]:
@@ -148,11 +153,9 @@ def compared(ids: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, flat: np.nd
     if not len(hit):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     links = np.bincount(hit.ravel(), minlength=n)
-    root = np.arange(n)
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(n, int)
-    rank[order] = np.arange(n)
-    root = rank.copy()
+    order = np.lexsort(keys.T[::-1])
+    root = np.empty(n, int)
+    root[order] = np.arange(n)
     while True:
         low = np.minimum(root[hit[:, 0]], root[hit[:, 1]])
         new = root.copy()
@@ -162,47 +165,66 @@ def compared(ids: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, flat: np.nd
             break
         root = new
     some = np.flatnonzero(links)
-    return ids[some], links[some], ids[order[root[some]]]
+    return some, links[some], order[root[some]]
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: id_col, class_id, copy_id, n_copies, n_links, key.
+    """One row for each row of docs: id_col, class_id, copy_id, n_copies, n_links, key, root.
 
     class_id: least id of the group of texts that links connect. copy_id and n_copies: least id and number of rows of the same
-    shingle set. n_links: other such classes with the similarity. key: xxhash64 of the text. Ids are integers.
+    shingle set. n_links: other such classes with the similarity. key: xxhash64 of the text. root: what the group is known by, null
+    for a text without words. Ids are integers.
     """
     number, rows = bands(threshold, recall)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
     table = persisted(described(docs, size, number, rows))
-    classes = table.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "key")).alias("one"))
-    classes = persisted(classes)
-    # One row of each class stands for it; its id and key find it, and repeated rows of both are merged.
-    heads = table.join(classes.select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), "rep", F.col("one.key").alias("k")), (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")) & (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k"))).select("rep", "key", "bands").dropDuplicates(["rep", "key"])
-    each = persisted(heads.select("rep", "key", F.posexplode("bands").alias("band", "hash")))
-    buckets = each.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep", "key").cast("decimal(38,0)")).alias("sum"), F.min("rep").alias("low")).where("members > 1")
+    # Rows of one class have the same bands; one of its rows, by id and key, later gives the text.
+    classes = persisted(table.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "key")).alias("one"), F.any_value("bands").alias("bands")))
+    each = persisted(classes.select("fp1", "fp2", F.posexplode("bands").alias("band", "hash")))
+    buckets = each.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum(F.xxhash64("fp1", "fp2").cast("decimal(38,0)")).alias("sum"), F.min("fp1").alias("low")).where("members > 1")
     # Buckets are numbered by their band and hash; of those with the same members the first stays.
     kept = buckets.groupBy("members", "sum", "low").agg(F.min(F.struct("band", "hash")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.hash").alias("hash"), "members", F.shiftleft(F.col("b.band").cast("bigint"), 48).bitwiseOR(F.shiftrightunsigned(F.col("b.hash"), 16)).alias("bucket"))
-    places = each.join(kept, ["band", "hash"]).select("rep", "key", F.struct("bucket", "members").alias("p"))
-    wanted = persisted(places.groupBy("rep", "key").agg(F.array_sort(F.collect_list("p")).alias("places")))
-    links = _links(docs, wanted, size, threshold, block)
-    links = persisted(links)
+    places = each.join(kept, ["band", "hash"]).select("fp1", "fp2", F.struct("bucket", "members").alias("p"))
+    wanted = places.groupBy("fp1", "fp2").agg(F.array_sort(F.collect_list("p")).alias("places"))
+    node = F.struct(F.coalesce("rep", F.lit((1 << 63) - 1)).alias("rep"), "fp1", "fp2")
+    wanted = persisted(wanted.join(classes.drop("bands"), ["fp1", "fp2"]).select(node.alias("node"), "one", "places"))
+    links = persisted(_links(docs, wanted, size, threshold, block))
     counts = links.groupBy("a").agg(F.sum("links").alias("n_links"))
     roots = components(links.select("a", "b"))
-    info = classes.join(counts, F.col("rep") == F.col("a"), "left").drop("a").join(roots, F.col("rep") == F.col("node"), "left")
-    info = info.select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    info = classes.select("fp1", "fp2", "rep", "copies", node.alias("me")).join(counts, F.col("me") == F.col("a"), "left").join(roots, F.col("me") == F.col("node"), "left")
+    root = F.coalesce("root", "me")
+    info = info.select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), root.alias("root"), F.nullif(root["rep"], F.lit((1 << 63) - 1)).alias("class_id"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = table.select("id", "key", "fp1", "fp2").join(info, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")), "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key")
+    own = lambda c: F.when(F.col("f1").isNull(), F.col("id")).otherwise(F.col(c)).alias(c)
+    return out.select(F.col("id").alias(id_col), own("class_id"), own("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key", "root")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """docs with one row of each group: that of the least id, null ids last, then of the least hash of its text.
+
+    Rows of one id whose texts are in different groups all stay, as do all rows without words; of rows that share id and text one stays.
+    """
+    groups = joined(docs, id_col, text_col, **options).where("root is not null").select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), "root")
+    rows = persisted(groups.groupBy("__id", "__key").agg(F.any_value("root").alias("root"), F.count("*").alias("n")))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("p")).select(F.col("p.id").alias("pid"), F.col("p.key").alias("pkey"))
+    marked = rows.join(first, F.col("__id").eqNullSafe(F.col("pid")) & (F.col("__key") == F.col("pkey")), "left").select("__id", "__key", "n", F.col("pkey").isNotNull().alias("stays"))
+    gone = persisted(marked.where("not stays or n > 1"))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    # Most rows stay, and most of those stand alone: only the others are looked up, and broadcast if they are few.
+    out = docs.join(sized(gone.select("__id", "__key"), 64), same, "left_anti")
+    several = docs.join(sized(gone.where("stays").select("__id", "__key"), 64), same).dropDuplicates(["__id", "__key"])
+    return out.unionByName(several.select(*docs.columns))
 
 
 def _links(docs: DataFrame, wanted: DataFrame, size: int, threshold: float, block: int) -> DataFrame:
-    """a, links, b: for a class within one pair of blocks of a bucket, its links and the least class that they lead to."""
+    """a, links, b: for a class within one pair of blocks of a bucket, its links and the least class that they lead to; wanted: node, one, places."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column("t"), 1 << 19):
                 h, ends = sets(data, offsets, size)
                 b = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("places"), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["rep", "places", "flat"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("places"), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["node", "places", "flat"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -212,39 +234,43 @@ def _links(docs: DataFrame, wanted: DataFrame, size: int, threshold: float, bloc
         def close() -> None:
             if len(held) > 1 and (now[1] == now[2] or len({x[1] for x in held}) > 1):
                 flat = [np.frombuffer(x[2], _U) for x in held]
-                got = compared(np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.array([len(x) for x in flat]), np.concatenate(flat), [np.array(x[3]) for x in held], now[0], (now[1], now[2]), threshold)
-                for column, x in zip(out, got, strict=True):
+                keys = np.array([x[0] for x in held], np.int64)
+                some, links, least = compared(keys, np.array([x[1] for x in held]), np.array([len(x) for x in flat]), np.concatenate(flat), [np.array(x[3]) for x in held], now[0], (now[1], now[2]), threshold)
+                for column, x in zip(out, (keys[some], links, keys[least]), strict=True):
                     column.append(x)
             held.clear()
 
         def made() -> pa.RecordBatch:
-            arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in out]
+            a, b = (np.concatenate([np.zeros((0, 3), np.int64), *x]) for x in (out[0], out[2]))
+            nodes = [pa.StructArray.from_arrays([pa.array(k) for k in x.T.copy()], names=["rep", "fp1", "fp2"]) for x in (a, b)]
+            arrays = [nodes[0], pa.array(np.concatenate([np.zeros(0, np.int64), *out[1]]).astype(np.int64)), nodes[1]]
             for x in out:
                 x.clear()
             return pa.RecordBatch.from_arrays(arrays, names=["a", "links", "b"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("bucket", "lo", "hi", "rep", "own", "flat", "buckets")]
-            for bucket, lo, hi, rep, own, flat, buckets in zip(*columns, strict=True):
+            nodes = list(zip(*(x.to_pylist() for x in batch.column("node").flatten()), strict=True))
+            columns = [batch.column(k).to_pylist() for k in ("bucket", "lo", "hi", "own", "flat", "buckets")]
+            for bucket, lo, hi, own, flat, buckets, node in zip(*columns, nodes, strict=True):
                 if (bucket, lo, hi) != now:
                     if held:
                         close()
                     now = (bucket, lo, hi)
-                held.append((rep, own, flat, buckets))
+                held.append((node, own, flat, buckets))
             if sum(map(len, out[0])) > 10_000:
                 yield made()
         if held:
             close()
         yield made()
 
-    near = sized(wanted, 512)
-    rows = docs.select(F.col("id"), "key", "t").join(near.select(F.col("rep"), F.col("key").alias("k"), "places"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k"))).select("rep", "places", "t")
-    rows = rows.mapInArrow(spread, "rep bigint, places array<struct<bucket:bigint,members:bigint>>, flat binary")
+    near = sized(wanted.select("node", "places", F.col("one.id").alias("i"), F.col("one.key").alias("k")), 512)
+    rows = docs.select(F.col("id"), "key", "t").join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("node", "places", "t")
+    rows = rows.mapInArrow(spread, f"node {_NODE}, places array<struct<bucket:bigint,members:bigint>>, flat binary")
     # The same row of a repeated document comes twice; the second is dropped with its place.
-    rows = rows.select("rep", "flat", F.col("places.bucket").alias("buckets"), F.explode("places").alias("p")).select("rep", "flat", "buckets", F.col("p.bucket").alias("bucket"), F.greatest(F.lit(1), F.ceil(F.col("p.members") / block)).cast("int").alias("blocks"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
+    rows = rows.select("node", "flat", F.col("places.bucket").alias("buckets"), F.explode("places").alias("p")).select("node", "flat", "buckets", F.col("p.bucket").alias("bucket"), F.greatest(F.lit(1), F.ceil(F.col("p.members") / block)).cast("int").alias("blocks"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "own", "flat", "buckets")
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "flat", "buckets")
     # All classes of a pair of blocks come to one task; dropDuplicates keeps this partitioning.
-    rows = rows.repartition("bucket", "lo", "hi").dropDuplicates(["bucket", "lo", "hi", "rep"])
-    return rows.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "a bigint, links bigint, b bigint")
+    rows = rows.repartition("bucket", "lo", "hi").dropDuplicates(["bucket", "lo", "hi", "node"])
+    return rows.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, f"a {_NODE}, links bigint, b {_NODE}")
