@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses. Words of the lexicon become symbols (insult, threat, target, negation, report); other words are
-a gap. Three transducers are composed: negation marks what stands in its scope, reported speech marks what
-follows a verb of saying, and the target transducer joins insults and threats with whom they aim at and emits
-weighted events. Only events count, not words. A logistic model over a text's events gives its score.
-
-The insult lexicon has a fixed part, and stems learned from labelled rows: words, and beginnings of words, that at least
-STEM_SHARE of the toxic rows hold and that are LIFT times as frequent there as elsewhere. SAMPLE_ROWS bounds the labelled
-rows that are used.
-
-Cases: a null or empty text has no events and gets the score of the intercept; without labelled rows of both kinds the grammar's
-own weights decide; repeated rows get equal scores; ids are only carried along.
+A text is cut into clauses. Words become symbols: insults, verbs of harm, words of intent, targets, negations, verbs of saying; others
+are a gap. Five transducers are composed: negation marks what stands in its scope; the threat transducer makes a threat of intent
+followed by harm, and drops harm without intent; the insult transducer joins insults in a row; reported speech marks what follows a
+verb of saying; the target transducer joins insults and threats with whom they aim at. A clause counts once, as the strongest
+event in it, with the weight of all; a negated or reported insult is excused. A logistic model over a text's clauses gives its score.
+
+No insult is written here: insult words, and beginnings of words, are learned from labelled rows. At least STEM_SHARE of the
+toxic rows hold one, and LEAST rows, as below that chance alone brings up such stems among the very many there are; and it is
+LIFT times as frequent there as elsewhere. SAMPLE_ROWS bounds the labelled rows that are used.
+
+Cases: a null or empty text has no events and gets the score of the intercept; without labelled rows of both kinds there are no insult
+stems, and the grammar's own weights decide; equal texts with both labels are one toxic row; repeated rows get equal scores; very
+long texts are read whole; ids are only carried along, other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,22 +25,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks
+from graphloom.llm.common import chunks, persisted
 from graphloom.llm.words import HashIndex, hashed, split
 
-# The lexicon, by symbol.
+# Words of the grammar, by symbol.
 LEXICON = {
-    "I": "idiot idiots moron stupid pathetic worthless disgusting trash scum loser clown idiota estúpido imbécile dummkopf",
-    "T": "kill hurt destroy stab shoot strangle matar töten tuer",
+    "H": "kill hurt destroy stab shoot strangle beat burn crush hang töten schlagen umbringen vernichten tuer frapper détruire brûler matar golpear destruir quemar",
+    "M": "will shall gonna going must should ll werde werden wird soll sollte vais va vont dois doit voy vamos debe debo",
     "Y": "you your yours he him she her they them du dich ihr tu toi vous usted ustedes",
     "N": "not never no nicht kein keine nie pas jamais nunca ni",
     "R": "said says wrote called claimed quoted sagte schrieb dit écrit dijo escribió",
 }
-SCOPE = 3
+SYMBOLS = "IHMYNR_"
+#: Words that a negation reaches; words between intent and harm.
+SCOPE, REACH = 3, 4
 PREFIXES = range(4, 9)
 SAMPLE_ROWS = 8000
-STEM_SHARE, LIFT = 0.02, 20.0
-EVENTS = ("insult", "aimed_insult", "late_aim", "threat", "aimed_threat", "excused")
+STEM_SHARE, LEAST, LIFT = 0.02, 6, 20.0
+#: Kinds of clauses from the weakest to the strongest.
+EVENTS = ("excused", "insult", "threat", "aimed_insult", "aimed_threat")
 _U = np.uint64
 
 
@@ -74,31 +79,50 @@ class Transducer:
 def _negation() -> Transducer:
     arcs = {k: {"N": (SCOPE, (), 0.0), "_": (max(0, k - 1), ("_",), 0.0)} for k in range(SCOPE + 1)}
     for k in range(1, SCOPE + 1):
-        arcs[k] |= {"I": (0, ("X",), 0.0), "T": (0, ("X",), 0.0)}
+        arcs[k] |= {"I": (0, ("X",), 0.0), "H": (0, ("_",), 0.0)}
+    return Transducer(arcs)
+
+
+def _threat() -> Transducer:
+    """State k: intent was named, and harm may follow within k words."""
+    arcs = {0: {"M": (REACH, (), 0.0), "H": (0, ("_",), 0.0)}}
+    for k in range(1, REACH + 1):
+        arcs[k] = {"M": (REACH, (), 0.0), "H": (0, ("T",), 0.0), "_": (k - 1, ("_",), 0.0)}
     return Transducer(arcs)
 
 
+def _insult() -> Transducer:
+    """Insults in a row are one, of more weight."""
+    return Transducer({0: {"I": (1, ("I",), 0.0)}, 1: {"I": (1, (), 0.5), "_": (0, ("_",), 0.0), "Y": (0, ("Y",), 0.0), "T": (0, ("T",), 0.0), "R": (0, ("R",), 0.0)}})
+
+
 def _report() -> Transducer:
     return Transducer({0: {"R": (1, (), 0.0)}, 1: {"R": (1, (), 0.0), "I": (1, ("X",), 0.0), "T": (1, ("X",), 0.0)}})
 
 
 def _target() -> Transducer:
     """States: 0 nothing yet, 1 a target was named, 2 an insult waits for its target."""
-    free = {"I": (2, ("insult",), 1.0), "T": (0, ("threat",), 0.5), "X": (0, ("excused",), 0.1), "Y": (1, (), 0.0), "_": (0, (), 0.0)}
-    aimed = {"I": (1, ("aimed_insult",), 2.0), "T": (1, ("aimed_threat",), 1.5), "X": (1, ("excused",), 0.1), "Y": (1, (), 0.0), "_": (1, (), 0.0)}
-    waits = free | {"Y": (1, ("late_aim",), 1.0), "_": (2, (), 0.0)}
+    free = {"I": (2, ("insult",), 1.0), "T": (0, ("threat",), 1.5), "X": (0, ("excused",), 0.1), "Y": (1, (), 0.0), "_": (0, (), 0.0)}
+    aimed = {"I": (1, ("aimed_insult",), 2.0), "T": (1, ("aimed_threat",), 2.5), "X": (1, ("excused",), 0.1), "Y": (1, (), 0.0), "_": (1, (), 0.0)}
+    waits = free | {"T": (2, ("threat",), 1.5), "Y": (1, ("aimed_insult",), 1.0), "_": (2, (), 0.0)}
     return Transducer({0: free, 1: aimed, 2: waits})
 
 
 def grammar() -> Transducer:
-    first = _negation().then(_report(), "ITYNR_")
-    return first.then(_target(), "ITYNR_", (0, 0))
+    out, start = _negation(), 0
+    for t in (_threat(), _insult(), _report(), _target()):
+        out, start = out.then(t, SYMBOLS, start), (start, 0)
+    return out
+
+
+#: Of the composed grammar.
+START = ((((0, 0), 0), 0), 0)
 
 
 @dataclass
 class Model:
     stems: np.ndarray
-    #: intercept; one weight for each event's log count and one for the log of the whole weight.
+    #: intercept; a weight for the log count of each kind of clause, for the log of the whole weight, and for that of 100 words.
     weights: np.ndarray
 
 
@@ -113,7 +137,7 @@ class Reader:
     def features(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(features, clauses with events) of each text"""
         n = len(offsets) - 1
-        counts, total, clauses = np.zeros((n, len(EVENTS))), np.zeros(n), np.zeros(n, np.int64)
+        counts, total = np.zeros((n, len(EVENTS))), np.zeros(n)
         w = split(data, offsets)
         symbols = np.full(len(w.hash), "", "U1")
         for at in [self.stems.find(w.hash)[0], *(p[self.stems.find(h)[0]] for p, h in (w.prefix(k) for k in PREFIXES))]:
@@ -121,30 +145,31 @@ class Reader:
         at, k = self.words.find(w.hash)
         symbols[at] = self.symbol[k]
         hits = np.flatnonzero(symbols != "")
-        strong = np.unique(w.doc[hits[np.isin(symbols[hits], ["I", "T"])]])
-        hits = hits[np.isin(w.doc[hits], strong)]
-        if len(hits):
-            ends = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".!?;\n|", np.uint8)))])
-            clause, doc = ends[w.start[hits]], w.doc[hits]
-            groups = np.flatnonzero((np.diff(clause) != 0) | (np.diff(doc) != 0)) + 1
-            for part in np.split(np.arange(len(hits)), groups):
-                d, state, last, weight, any_event = doc[part[0]], ((0, 0), 0), hits[part[0]], 0.0, False
-                for i in part:
-                    for x in "_" * min(SCOPE, int(hits[i] - last - 1)) + symbols[hits[i]] if i != part[0] else symbols[hits[i]]:
-                        state, out, more = self.grammar.step(state, x)
-                        weight += more
-                        for e in out:
-                            counts[d, EVENTS.index(e)] += 1
-                            any_event = True
-                    last = hits[i]
-                total[d] += weight
-                clauses[d] += any_event
-        return np.log1p(np.column_stack([counts, total])), clauses
+        # Only clauses with an insult or harm can hold an event.
+        ends = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".!?;\n|", np.uint8)))])
+        clause, doc = ends[w.start[hits]], w.doc[hits]
+        number = np.concatenate([[0], np.cumsum((np.diff(clause) != 0) | (np.diff(doc) != 0))]) if len(hits) else np.zeros(0, int)
+        strong = np.zeros(int(number[-1]) + 1 if len(number) else 0, bool)
+        strong[number[np.isin(symbols[hits], ["I", "H"])]] = True
+        some = strong[number] if len(number) else np.zeros(0, bool)
+        hits, doc, number = hits[some], doc[some], number[some]
+        for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(number)) + 1) if len(hits) else []:
+            state, last, weight, best = START, hits[part[0]], 0.0, -1
+            for i in part:
+                for x in "_" * min(max(SCOPE, REACH), int(hits[i] - last - 1)) + symbols[hits[i]] if i != part[0] else symbols[hits[i]]:
+                    state, out, more = self.grammar.step(state, x)
+                    weight += more
+                    best = max([best, *map(EVENTS.index, out)])
+                last = hits[i]
+            if best >= 0:
+                counts[doc[part[0]], best] += 1
+                total[doc[part[0]]] += weight
+        return np.log1p(np.column_stack([counts, total, 100 * total / np.maximum(np.diff(w.first), 1)])), counts.sum(1).astype(np.int64)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's method."""
-    prior = np.array([-2.0, *[0.0] * len(EVENTS), 4.0])
+    prior = np.array([-2.0, *[0.0] * len(EVENTS), 4.0, 0.0])
     if not len(y) or y.min() == y.max():
         return prior
     a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
@@ -158,14 +183,14 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def learned(train: DataFrame, text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from labelled rows: at most about so many of them, taken by the hash of their text and place."""
+def learned(train: DataFrame, text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, total: int | None = None) -> Model:
+    """A model from labelled rows: at most about so many of them, taken by the hash of their text; total: their number, if known."""
     train = train.where(F.col(label_col).isNotNull())
-    share = min(1.0, rows / max(1, train.count()))
+    share = min(1.0, rows / max(1, train.count() if total is None else total))
     sample = train.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where(F.col("t").isNotNull())
     if share < 1:
         sample = sample.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = sample.groupBy("t").agg(F.max("y").alias("y"))
+    sample = persisted(sample.groupBy("t").agg(F.max("y").alias("y")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -206,10 +231,10 @@ def learned(train: DataFrame, text_col: str = "text", label_col: str = "toxic",
     stems = np.zeros(0, _U)
     if n.get(0) and n.get(1):
         c = sample.mapInArrow(count, "h bigint, c0 bigint, c1 bigint").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-        c = c.where((F.col("c1") >= max(6, STEM_SHARE * n[1])) & (F.col("c1") * n[0] >= LIFT * (F.col("c0") + 0.5) * n[1]))
+        c = c.where((F.col("c1") >= max(LEAST, STEM_SHARE * n[1])) & (F.col("c1") * n[0] >= LIFT * (F.col("c0") + 0.5) * n[1]))
         stems = c.select("h").toArrow().column(0).to_numpy().astype(np.int64).view(_U)
     got = _events(sample, stems, "y int", ["y"]).toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(EVENTS) + 1)
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(EVENTS) + 2)
     return Model(np.sort(stems), fitted(x, got.column("y").to_numpy().astype(float)))
 
 
