@@ -2,10 +2,12 @@
 
 Heuristic labellers vote good, poor or nothing on each text. Texts with the same votes are one row of a table of at most
 3 ** labellers rows, counted over all documents. Expectation-maximisation on that table estimates each labeller's rates and
-the share of good texts. The posterior of a bounded sample (SAMPLE_ROWS) trains a linear scorer on hashed byte trigrams.
+the share of good texts. The posterior of a bounded sample (SAMPLE_ROWS) trains a linear scorer on hashed byte trigrams and on how
+much of a text repeats itself.
 
-Cases: a null or empty text is poor: score 0; a table of nothing but such texts is all 0; repeated rows get equal
-scores; ids are only carried along.
+Cases: a null or empty text is poor: score 0; a table of nothing but such texts, or an empty one, is all 0; texts without words are
+judged by their characters alone; repeated rows get equal scores, and very long texts are read whole; ids are only carried along,
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -19,22 +21,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import chunks
-from graphloom.llm.words import split
+from graphloom.llm.words import WORD, split
 
 BUCKETS = 2048
 SAMPLE_ROWS = 4000
-LABELLERS = ("symbols", "capitals", "word_length", "lines", "stops", "bars")
+#: Features: hashed trigrams; words that repeat the one before; words that stand earlier in the text.
+WIDTH = BUCKETS + 2
+LABELLERS = ("symbols", "capitals", "word_length", "lines", "stops", "bars", "exclamations", "repeats", "variety", "plain", "marks")
 _U = np.uint64
 
 
 @dataclass
 class Model:
     prior: float
-    #: rates[k, labeller, vote]: chance of the vote (nothing, poor, good) for poor and for good texts.
+    #: rates[k, labeller, vote]: chance of the vote (poor, good) for poor and for good texts, of those it votes on; no vote says nothing: 1.
     rates: np.ndarray
     weights: np.ndarray
 
 
+def repeated(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of words that repeat the one before, share of words that stand earlier in the text, words) of each text."""
+    w = split(data, offsets)
+    n = len(offsets) - 1
+    words = np.diff(w.first)
+    some = np.maximum(words, 1)
+    same = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+    order = np.lexsort((w.hash, w.doc))
+    h, d = w.hash[order], w.doc[order]
+    again = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+    return np.bincount(w.doc[1:][same], minlength=n) / some, np.bincount(d[1:][again], minlength=n) / some, words
+
+
 def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """0 nothing, 1 poor, 2 good: one column for each labeller."""
     w = split(data, offsets)
@@ -51,6 +68,13 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     breaks = share(data == 10)
     stops = share(np.isin(data, np.frombuffer(b".!?", np.uint8))) / words
     bars = share(data == 124) / words
+    shouts = share(data == 33) / words
+    ordinary = WORD[data] | np.isin(data, np.frombuffer(b" \n\t.,;:?'\"()-", np.uint8))
+    plain = share(ordinary) / size
+    begins = ~ordinary
+    begins[1:] &= ordinary[:-1]
+    runs = share(begins) / words
+    before, earlier, count = repeated(data, offsets)
     out = np.zeros((len(size), len(LABELLERS)), np.int8)
 
     def rule(k: int, poor: np.ndarray, good: np.ndarray) -> None:
@@ -62,18 +86,33 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rule(3, breaks > words / 3, breaks < words / 8)
     rule(4, stops > 0.5, (stops > 0.02) & (stops < 0.3))
     rule(5, bars > 0.2, bars == 0)
+    rule(6, shouts > 0.3, shouts < 0.1)
+    rule(7, before > 0.2, before < 0.05)
+    # These two overlap with the labellers of single marks, so that agreement can be seen.
+    rule(9, plain < 0.9, plain > 0.95)
+    rule(10, runs > 0.2, runs < 0.05)
+    # Short texts say little about variety.
+    rule(8, (earlier > 0.7) & (count >= 30), (earlier < 0.55) & (count >= 30))
     return out
 
 
 def estimated(table: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """(share of good texts, rates) by expectation-maximisation; rows of table are patterns of votes that occur n times."""
-    good = 0.5 + ((table == 2).sum(1) - (table == 1).sum(1)) / (2.2 * table.shape[1])
+    """(share of good texts, rates) by expectation-maximisation; rows of table are patterns of votes that occur n times.
+
+    It starts from the votes weighed by how rare they are: a vote that most texts get says little.
+    """
+    start = np.zeros(len(table))
+    for j in range(table.shape[1]):
+        share = (np.bincount(table[:, j], n, 3) + 0.5) / (n.sum() + 1.5)
+        start += np.where(table[:, j] == 2, -np.log(share[2]), np.where(table[:, j] == 1, np.log(share[1]), 0.0))
+    good = 1 / (1 + np.exp(-np.clip(start, -30, 30)))
     prior = 0.5
-    rates = np.zeros((2, table.shape[1], 3))
+    rates = np.ones((2, table.shape[1], 3))
     for _ in range(rounds):
         for k, p in enumerate((1 - good, good)):
             for j in range(table.shape[1]):
-                rates[k, j] = (np.bincount(table[:, j], n * p, 3) + 0.5) / ((n * p).sum() + 1.5)
+                voted = np.bincount(table[:, j], n * p, 3)[1:] + 0.5
+                rates[k, j, 1:] = voted / voted.sum()
         new = float((n * good).sum() / max(1, n.sum()))
         good = posterior(table, new, rates)
         if abs(new - prior) < 1e-9:
@@ -88,10 +127,12 @@ def posterior(table: np.ndarray, prior: float, rates: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(log, -30, 30)))
 
 
-def hashed_trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams: texts x BUCKETS."""
+def hashed_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams and of repeated words: texts x WIDTH."""
     n = len(offsets) - 1
-    out = np.zeros((n, BUCKETS), np.float32)
+    out = np.zeros((n, WIDTH), np.float32)
+    before, earlier, _ = repeated(data, offsets)
+    out[:, BUCKETS], out[:, BUCKETS + 1] = np.sqrt(before), np.sqrt(earlier)
     if len(data) < 3:
         return out
     x = data.astype(np.uint32)
@@ -99,7 +140,7 @@ def hashed_trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for i in range(n):
         part = h[offsets[i] : max(offsets[i], offsets[i + 1] - 2)]
         if len(part):
-            out[i] = np.sqrt(np.bincount(part, minlength=BUCKETS) / len(part))
+            out[i, :BUCKETS] = np.sqrt(np.bincount(part, minlength=BUCKETS) / len(part))
     return out
 
 
@@ -126,22 +167,25 @@ def learned(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) ->
         for b in batches:
             for lo, hi, data, offsets in chunks(b.column("t")):
                 p = posterior(votes(data, offsets), prior, rates)
-                x = hashed_trigrams(data, offsets).astype(np.float16)
+                x = hashed_features(data, offsets).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([r.tobytes() for r in x], pa.binary())], names=["p", "x"])
 
     got = sample.groupBy("t").agg(F.count("*").alias("n")).select("t").mapInArrow(describe, "p double, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
     return Model(prior, rates, trained(x, got.column("p").to_numpy()))
 
 
-def trained(x: np.ndarray, p: np.ndarray, rounds: int = 400, rate: float = 4.0, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic scorer of soft labels by gradient descent; the intercept comes last."""
-    w = np.zeros(x.shape[1] + 1)
+def trained(x: np.ndarray, p: np.ndarray, rounds: int = 300, rate: float = 4.0, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic scorer of soft labels by gradient descent with momentum; the intercept comes last."""
+    w = np.zeros(x.shape[1] + 1, np.float32)
     if not len(x):
         return w
-    for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        w -= rate * np.append(x.T @ (q - p) / len(p) + ridge * w[:-1], (q - p).mean())
+    p, before = p.astype(np.float32), w
+    for k in range(rounds):
+        ahead = w + (w - before) * np.float32(k / (k + 3))
+        q = 1 / (1 + np.exp(-np.clip(x @ ahead[:-1] + ahead[-1], -30, 30)))
+        slope = np.append(x.T @ (q - p) / np.float32(len(p)) + np.float32(ridge) * ahead[:-1], (q - p).mean())
+        before, w = w, ahead - np.float32(rate) * slope.astype(np.float32)
     return w
 
 
@@ -158,7 +202,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 q = np.zeros(hi - lo)
                 for i in range(0, hi - lo, 512):
                     at = offsets[i : min(i + 512, hi - lo) + 1]
-                    x = hashed_trigrams(data[at[0] : at[-1]], at - at[0])
+                    x = hashed_features(data[at[0] : at[-1]], at - at[0])
                     q[i : i + 512] = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
                 q = np.where(some, q, 0.0)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(p), pa.array(q), pa.array(q >= 0.5)], names=["id", "posterior", "score", "keep"])
