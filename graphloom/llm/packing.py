@@ -2,15 +2,16 @@
 
 Documents are read in groups of about GROUP_TOKENS tokens within a task. In a group, the number of sequences is known
 from its tokens: full sequences, and for what is left over one sequence for each power of two in it, as those need no
-padding. Documents then go in descending order to the sequence of lowest cost that has capacity left, where a piece of n
-tokens costs LINEAR * n + n * n: attention runs within a piece. Long documents first give their full sequences. A
-document that finds no place for all its tokens is cut.
+padding. Documents then go in descending order to the sequence of lowest cost that has room for them, where a piece of n
+tokens costs LINEAR * n + n * n: attention runs within a piece. Long documents first give their full sequences. Only a
+document for which no sequence has room is cut: it fills the sequence of lowest cost that has any room left, and what remains of it is
+placed likewise.
 
 Only the token ids of one group are held at a time, and nothing is shuffled. sequence_id counts upwards within a task and
 starts anew from the task's number times 2**40, so that a task that is run again gives the same ids.
 
-Cases: null counts as empty; an empty text is the end token alone; repeated documents are packed as often as they come;
-ties in length keep the order of reading; an empty table gives no rows. Texts that hold the string of a special token are
+Cases: null counts as empty; very long texts are tokenised whole, by one task each; an empty text is the end token alone; repeated documents are packed as often as they come;
+ties in length keep the order of reading; an empty table gives no rows; other columns are left out. Texts that hold the string of a special token are
 ordinary text.
 """
 
@@ -54,6 +55,47 @@ def tokenizer(json_path: str, ranks_path: str | None, pattern: str | None) -> Ca
     return lambda text: slow(text) if PLAIN.search(text) else np.array(fast.encode_ordinary(text), np.uint32)
 
 
+class Rooms:
+    """Sequences by their free capacity; finds the one of lowest cost among those with at least so much. Equal costs: the roomier first."""
+
+    def __init__(self, length: int) -> None:
+        self.size = 1 << length.bit_length()
+        self.held: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
+        #: tree[size + c]: (cost, -c, sequence) of the cheapest with capacity c; above it the least of two.
+        self.tree: list[tuple[int, int, int] | None] = [None] * (2 * self.size)
+
+    def _mend(self, c: int) -> None:
+        i = self.size + c
+        self.tree[i] = (self.held[c][0][0], -c, self.held[c][0][1]) if self.held[c] else None
+        while i > 1:
+            i >>= 1
+            x, y = self.tree[2 * i], self.tree[2 * i + 1]
+            self.tree[i] = x if y is None or x is not None and x < y else y
+
+    def put(self, cost: int, free: int, sequence: int) -> None:
+        heapq.heappush(self.held[free], (cost, sequence))
+        self._mend(free)
+
+    def take(self, least: int) -> tuple[int, int, int] | None:
+        """(cost, free, sequence), which is no longer held; None if no sequence has room."""
+        best, lo, hi = None, self.size + least, 2 * self.size
+        while lo < hi:
+            if lo & 1:
+                x = self.tree[lo]
+                best = x if best is None or x is not None and x < best else best
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                x = self.tree[hi]
+                best = x if best is None or x is not None and x < best else best
+            lo, hi = lo >> 1, hi >> 1
+        if best is None:
+            return None
+        heapq.heappop(self.held[-best[1]])
+        self._mend(-best[1])
+        return best[0], -best[1], best[2]
+
+
 def assign(lengths: list[int], length: int = LENGTH, linear: int = LINEAR) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, tokens, sequence, offset) of documents with so many tokens.
 
@@ -71,32 +113,18 @@ def assign(lengths: list[int], length: int = LENGTH, linear: int = LINEAR) -> li
             rest.append((n % length, d, whole * length))
     total = sum(n for n, _, _ in rest)
     room = [length] * (total // length) + [1 << k for k in range(length.bit_length() - 1, -1, -1) if (total % length) >> k & 1]
-    free = room.copy()
-    # Equal costs: the roomier sequence first.
-    heap = [(0, -n, s) for s, n in enumerate(room)]
-    heapq.heapify(heap)
+    rooms = Rooms(length)
+    for s, n in enumerate(room):
+        rooms.put(0, n, s)
     rest.sort(key=lambda x: (-x[0], x[1]))
     for n, d, start in rest:
-        aside = []
-        while heap:
-            cost, _, s = heapq.heappop(heap)
-            if free[s] >= n or len(aside) >= 8:
-                break
-            aside.append((cost, -free[s], s))
-        else:
-            cost, _, s = aside.pop(0)
-        for x in aside:
-            heapq.heappush(heap, x)
-        while True:
-            m = min(n, free[s])
-            pieces.append((d, start, m, sequences + s, room[s] - free[s]))
-            free[s] -= m
-            if free[s]:
-                heapq.heappush(heap, (cost + linear * m + m * m, -free[s], s))
+        while n:
+            cost, free, s = rooms.take(n) or rooms.take(1)
+            m = min(n, free)
+            pieces.append((d, start, m, sequences + s, room[s] - free))
+            if free > m:
+                rooms.put(cost + linear * m + m * m, free - m, s)
             n, start = n - m, start + m
-            if not n:
-                break
-            cost, _, s = heapq.heappop(heap)
     return pieces
 
 
