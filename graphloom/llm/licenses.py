@@ -5,7 +5,8 @@ wherever the notice occurs with at most k edits (pigeonhole). One automaton find
 regex library matches the whole notice with at most k errors and reports the span.
 
 Cases: null counts as empty; a text without words has n_words 0, no place and score 0; repeated and overlapping finds of one
-notice are reported once, leftmost first; equal texts get equal rows. Texts are searched whole.
+notice are reported once, leftmost first; equal texts get equal rows. Texts are searched whole, however long; other columns of the
+input are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ class Notices:
 
     def __init__(self, notices: list[tuple[str, str]], chars_per_edit: int = CHARS_PER_EDIT) -> None:
         self.notices = [(label, text, max(1, len(text) // chars_per_edit - 1)) for label, text in notices]
-        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}") for _, text, k in self.notices]
+        self.patterns = [regex.compile(rf"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}") for _, text, k in self.notices]
         self.seeds = ahocorasick.Automaton()
         held: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, k) in enumerate(self.notices):
@@ -82,7 +83,7 @@ class Notices:
                 hi = min(len(low), end + 1 - n - a + len(text) + k)
                 w = windows.setdefault(i, [])
                 if w and w[-1][1] >= lo:
-                    w[-1][1] = max(w[-1][1], hi)
+                    w[-1][:] = min(w[-1][0], lo), max(w[-1][1], hi)
                 else:
                     w.append([lo, hi])
         out = []
