@@ -1,16 +1,21 @@
 """Chat formatting: tool calls are linked with their results, in DataFrame functions alone.
 
-An assistant's text that is a JSON object with `tool_calls` (objects of id, name, arguments) calls tools; a tool's text that is
-a JSON object with `tool_call_id` is a result. Calls and results are joined by conversation and identifier. Messages are in
-topological order by (order_turn, order_index): a result that stands before its call moves behind it. Arguments are
-checked against the tool's schema, and each message is one line of canonical JSON: keys sorted, no blanks, nulls left out.
+An assistant's text that is a JSON object with `tool_calls` (objects of id, name and arguments, or with these in `function`) calls
+tools; a tool's text that is a JSON object with `tool_call_id` is a result. Blanks around an object don't matter. Calls and results
+are joined by conversation and identifier. Messages are in topological order by (order_turn, order_index): every message stands at
+its turn, but a result that stands before its call moves right behind it. Arguments are checked against the tool's schema; those
+given as text are read as JSON first. Each message is one line of canonical JSON: keys sorted, no blanks. It holds the whole object
+that the message is, so that no field is lost; nulls of an object stay, fields that a message lacks are left out.
 
-The result has one row for each message, so that a conversation of very many messages is never one task's.
+The result has one row for each message, so that a conversation of very many messages is never one task's; the joins are
+on identifiers, which deal such a conversation out.
 
-Cases: null texts and texts that are no such object are plain messages; a result without an identifier or whose call is missing is
-not linked and keeps its place; an identifier used twice in a conversation belongs to its first call; repeated rows are repeated
-messages; calls of tools without a schema, or with arguments that are no object, are invalid; rows of null
-conversations are in no link.
+Cases: null texts and texts that are no such object (or have a key twice) are plain messages; a result without an identifier or whose
+call is missing is not linked and keeps its place; an identifier used twice in a conversation belongs to its first call, and all
+results with it are linked to that; repeated rows are repeated messages, and ties of turn keep one order number; calls without an
+identifier are never answered; calls of tools without a schema, or with arguments that are no object, are invalid, and arguments that
+cannot be read stay as text; rows of null conversations are in no link, those of null turns are; an empty table gives no rows; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ SCHEMAS: dict[str, dict[str, tuple[tuple[str, ...], bool]]] = {
     "fetch": {"url": (("STRING",), True)},
     "calculate": {"expression": (("STRING",), True)},
 }
-_SHAPE = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string>"
 
 
 def _valid(name: Column, args: Column, schemas: dict) -> Column:
@@ -39,32 +43,40 @@ def _valid(name: Column, args: Column, schemas: dict) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _call(c: Column) -> Column:
+    """arguments (read from text where they are text), id, name of a call."""
+    get = lambda path, kind: F.coalesce(F.try_variant_get(c, f"$.{path}", kind), F.try_variant_get(c, f"$.function.{path}", kind))
+    raw = get("arguments", "variant")
+    is_text = F.schema_of_variant(raw) == "STRING"
+    read = F.coalesce(F.try_parse_json(F.when(is_text, F.try_variant_get(raw, "$", "string"))), raw)
+    return F.struct(read.alias("arguments"), F.try_variant_get(c, "$.id", "string").alias("id"), get("name", "string").alias("name"))
+
+
 def linked(messages: DataFrame, schemas: dict = SCHEMAS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, order_turn, order_index, n_calls, n_valid, n_answered, linked (null but for results), json."""
+    """conv_id, turn, role, order_turn, order_index, n_calls, n_valid, n_answered, linked (null but for tools' messages), json."""
     m = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    jsonish = F.col("role").isin("assistant", "tool") & F.col("text").startswith("{")
-    m = m.withColumn("o", F.when(jsonish, F.from_json("text", _SHAPE)))
-    tool_like = F.coalesce(F.when(F.col("role") == "assistant", F.size("o.tool_calls") > 0).when(F.col("role") == "tool", F.col("o.tool_call_id").isNotNull()), F.lit(False))
-    m = m.withColumn("link", tool_like)
-    is_call = F.col("link") & (F.col("role") == "assistant")
-    is_result = F.col("link") & (F.col("role") == "tool")
+    trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
+    m = m.withColumn("o", F.when(F.col("role").isin("assistant", "tool") & F.col("text").rlike(r"^\s*\{"), F.try_parse_json(trimmed)))
+    m = m.withColumn("listed", F.when(F.col("role") == "assistant", F.try_variant_get("o", "$.tool_calls", "array<variant>")))
+    m = m.withColumn("call_id", F.when(F.col("role") == "tool", F.try_variant_get("o", "$.tool_call_id", "string")))
+    is_call, is_result = F.coalesce(F.size("listed") > 0, F.lit(False)), F.col("call_id").isNotNull()
+    said = m.where(is_call).withColumn("key", F.xxhash64("text")).withColumn("calls", F.transform("listed", _call))
 
-    calls = m.where(is_call).select("conv_id", "turn", F.xxhash64("text").alias("key"), F.posexplode("o.tool_calls").alias("at", "c"))
-    first = calls.where("c.id is not null").groupBy("conv_id", F.col("c.id").alias("call_id")).agg(F.min(F.struct("turn", "at", "key")).alias("own"))
-    results = m.where(is_result).select("*", F.col("o.tool_call_id").alias("call_id"))
+    calls = said.select("conv_id", "turn", "key", F.posexplode("calls.id").alias("at", "call_id"))
+    first = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at", "key")).alias("own"))
+    results = m.where(is_result)
     answered = results.select("conv_id", "call_id").distinct()
     known = first.join(answered, ["conv_id", "call_id"], "left_semi").groupBy("conv_id", F.col("own.turn").alias("turn"), F.col("own.key").alias("key")).agg(F.count("*").alias("n_answered"))
+    known = known.withColumnsRenamed({"conv_id": "c2", "turn": "t2", "key": "k2"})
 
-    variants = F.transform("o.tool_calls", lambda c: F.struct(F.try_parse_json(c["arguments"]).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
-    said = m.where(is_call).withColumn("key", F.xxhash64("text")).withColumn("calls", variants)
-    said = said.join(known, ["conv_id", "turn", "key"], "left").select(
+    said = said.join(known, (F.col("conv_id") == F.col("c2")) & F.col("turn").eqNullSafe(F.col("t2")) & (F.col("key") == F.col("k2")), "left").select(
         "conv_id", "turn", "role",
         F.col("turn").alias("order_turn"), F.lit(0).alias("order_index"),
         F.size("calls").alias("n_calls"),
         F.size(F.filter("calls", lambda c: _valid(c["name"], c["arguments"], schemas))).alias("n_valid"),
         F.coalesce("n_answered", F.lit(0)).cast("int").alias("n_answered"),
         F.lit(None).cast("boolean").alias("linked"),
-        F.to_json(F.struct(F.col("o.content").alias("content"), "role", F.col("calls").alias("tool_calls"))).alias("json"),
+        F.to_json(F.struct("calls", F.col("o").alias("message"), "role")).alias("json"),
     )
     places = first.select("conv_id", "call_id", F.col("own.turn").alias("t"), F.col("own.at").alias("i"))
     got = results.join(places, ["conv_id", "call_id"], "left")
@@ -73,10 +85,10 @@ def linked(messages: DataFrame, schemas: dict = SCHEMAS, conv_col: str = "conv_i
         "conv_id", "turn", "role",
         F.when(moved, F.col("t")).otherwise(F.col("turn")).alias("order_turn"), F.when(moved, F.col("i") + 1).otherwise(0).alias("order_index"),
         F.lit(0).alias("n_calls"), F.lit(0).alias("n_valid"), F.lit(0).alias("n_answered"),
-        F.col("t").isNotNull().alias("linked"),
-        F.to_json(F.struct(F.col("o.content").alias("content"), "role", F.col("call_id").alias("tool_call_id"))).alias("json"),
+        F.col("i").isNotNull().alias("linked"),
+        F.to_json(F.struct(F.col("o").alias("message"), "role")).alias("json"),
     )
-    plain = m.where(~F.col("link")).select(
+    plain = m.where(~is_call & ~is_result).select(
         "conv_id", "turn", "role",
         F.col("turn").alias("order_turn"), F.lit(0).alias("order_index"),
         F.lit(0).alias("n_calls"), F.lit(0).alias("n_valid"), F.lit(0).alias("n_answered"),
