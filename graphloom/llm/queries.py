@@ -13,8 +13,8 @@ from graphloom.llm.common import persisted, remainder, table
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    train = docs.select("doc_id", "text").where(remainder("doc_id", 5) != 0).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.learned(train.select("text", "toxic"))
+    labels = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id", "toxic")
+    model = toxicity.learned(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"), total=labels.count())
     out = toxicity.scored(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
 
@@ -61,31 +61,31 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.stored(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return transport.stored(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "access_points")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scanned(table(spark, sf_dir, "documents"))
     added = F.filter(F.transform("notices", lambda x: x["label"]), lambda x: x.isNotNull())
     base = F.when(F.col("base_labels") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("base_labels", ","))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, added))), ",").alias("labels"), "score")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, added))), ",").alias("labels"), "score", "notices")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised stay as they are. Null texts, those without letters and rejected ones go; repeated rows and
+    null ids are judged like others; the model is learned from rows whose crc32 of the id mod 3 is not 1."""
     model = languages.learned(docs.where(remainder("doc_id", 3) != 1).select("text", "lang"))
     out = languages.identified(docs, model, keep=[F.struct(*docs.columns).alias("row")])
     return out.where("not rejected").select("row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that of the least id; repeated rows of it are one."""
-    groups = near.joined(docs)
-    keep = groups.where("doc_id = class_id").groupBy("doc_id").agg(F.min("key").alias("__key")).withColumnRenamed("doc_id", "__id")
-    kept = docs.where("doc_id is not null").join(keep, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each group stays: see near.deduplicated."""
+    return near.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are little else go. See decontamination.decontaminated."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -95,6 +95,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in a sequence: see packing.packed. Null texts are the end token alone."""
     return packing.packed(docs, **_vocabulary())
 
 
