@@ -90,7 +90,7 @@ def test_shards_cut_like_one_automaton(spark):
     docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id bigint, text string, n_chars bigint")
     items = spark.createDataFrame([(i, " ".join(w[lo:hi])) for i, (lo, hi) in enumerate([(0, 15), (5, 20), (12, 24), (15, 30), (22, 36), (28, 40)])], "item_id bigint, text string")
     one = sorted(decontamination.decontaminated(docs, items).collect())
-    assert len(list(decontamination.automata(items, shard_bytes=60))) > 2
+    assert decontamination.shards(items, shard_bytes=60)[0] > 2
     assert sorted(decontamination.decontaminated(docs, items, shard_bytes=60).collect()) == one
     texts = {r["doc_id"]: r["text"] for r in one}
     assert set(texts) == {1, 3, 4, 5} and not any(f"p{i}" in texts[1].split() for i in range(20))
@@ -150,20 +150,20 @@ def test_chat(spark):
     at = {r["turn"]: r for r in got}
     assert len(got) == 6 and (at[2]["n_calls"], at[2]["n_valid"], at[2]["n_answered"]) == (2, 1, 1)
     assert at[1]["linked"] and (at[1]["order_turn"], at[1]["order_index"]) == (2, 1) and not at[3]["linked"]
-    assert json.loads(at[2]["json"])["tool_calls"][0]["arguments"] == {"limit": 2, "query": "q"}
+    assert json.loads(at[2]["json"])["message"]["tool_calls"][0]["arguments"] == {"limit": 2, "query": "q"}
 
 
 def test_grammar_scores_clauses():
     machine = toxicity.grammar()
 
     def events(symbols):
-        state, out = ((0, 0), 0), []
+        state, out = toxicity.START, []
         for x in symbols:
             state, more, _ = machine.step(state, x)
             out += more
         return out
 
-    assert events("YI") == ["aimed_insult"] and events("I_Y") == ["insult", "late_aim"]
+    assert events("YI") == ["aimed_insult"] and events("I_Y") == ["insult", "aimed_insult"]
     assert events("YNI") == ["excused"] and events("RYI") == ["excused"] and events("N___YI") == ["aimed_insult"]
 
 
