@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +42,34 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back, so that its lineage ends there.
-
-    The folder is spark.checkpoint.dir of the session. Only a local session where that is unset, as in tests, gets one made here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder: spark.checkpoint.dir of the session. Only a local session where that is unset, as in tests, gets one made here."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read back, so that its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_file(spark: SparkSession, data: bytes) -> str:
+    """Writes a file to the shared folder, from where executors fetch it before their next tasks; its name for SparkFiles.get."""
+    context = spark.sparkContext
+    name = f"file-{uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(data)
+    out.close()
+    context.addFile(path.toString())
+    return name
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit; otherwise as it is, for a shuffled join."""
     most = limit // row_bytes

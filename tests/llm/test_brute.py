@@ -207,7 +207,8 @@ def test_assignment_is_that_of_the_rule():
 # Language
 
 
-def test_probabilities_are_those_of_interpolated_kneser_ney():
+@pytest.mark.parametrize("shards", [1, 5])
+def test_probabilities_are_those_of_interpolated_kneser_ney(shards):
     rng = random.Random(8)
     texts = {"aa": ["".join(rng.choice("ab c") for _ in range(60)) for _ in range(8)], "bb": ["".join(rng.choice("bcd ") for _ in range(60)) for _ in range(8)]}
     n = languages.ORDER
@@ -219,7 +220,7 @@ def test_probabilities_are_those_of_interpolated_kneser_ney():
 
     counts = {k: Counter(g for t in ts for g in grams(t)) for k, ts in texts.items()}
     order = sorted(counts)
-    model = languages.fitted(order, [np.array(list(counts[k]), np.uint32) for k in order], [np.array(list(counts[k].values())) for k in order])
+    model = languages.fitted(order, [np.array(list(counts[k]), np.uint32) for k in order], [np.array(list(counts[k].values())) for k in order], shards)
     known = {g[-1] for c in counts.values() for g in c}
 
     def levels(c):

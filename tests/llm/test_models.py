@@ -83,7 +83,24 @@ def test_every_gram_is_in_the_model(spark):
     letters = np.random.default_rng(7).integers(97, 123, 450_000).astype(np.uint8)
     rare = letters.tobytes().decode()
     train = spark.createDataFrame([(rare, "rare")] + [("mola tara lomo bala", "small")] * 20, "text string, lang string")
-    model = languages.learned(train)
-    assert model.languages == ["rare", "small"]
+    model = languages.learned(train, shard_grams=30_000)
+    assert model.languages == ["rare", "small"] and len(model.shards) > languages.MIN_SHARDS
     grams = {("    " + t)[i : i + 5] for t in (rare, "mola tara lomo bala") for i in range(len(t))}
-    assert len(grams) > 400_000 and len(model.levels[-1][0].keys) == len(grams)
+    assert len(grams) > 400_000 and sum(len(model.shard(i)[languages.ORDER].grams.keys) for i in range(len(model.shards)) if model.shards[i]) == len(grams)
+
+
+def test_shards_of_tasks_are_those_of_memory(spark):
+    rng = np.random.default_rng(9)
+    texts = {k: ["".join(rng.choice(list(letters), 80)) for _ in range(40)] for k, letters in {"aa": "abc é", "bb": "bcd д", "cc": "xyz "}.items()}
+    train = spark.createDataFrame([(t, k) for k, ts in texts.items() for t in ts], "text string, lang string")
+    counts = {}
+    for k, ts in texts.items():
+        raw = [t.encode() for t in ts]
+        s, starts, _ = languages.symbols(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        windows = [s[i : i + languages.ORDER] for lo, hi in zip(starts[:-1], starts[1:], strict=True) for i in range(lo, hi - languages.ORDER + 1)]
+        counts[k] = np.unique(np.array(windows), axis=0, return_counts=True)
+    whole = languages.fitted(sorted(texts), [counts[k][0] for k in sorted(texts)], [counts[k][1] for k in sorted(texts)])
+    model = languages.learned(train, shard_grams=100)
+    new = [t.encode() for t in ("abc é bd", "дbcd", "xyz zyx", "qqq", "", texts["aa"][3] * 20)]
+    s, starts, _ = languages.symbols(np.frombuffer(b"".join(new), np.uint8), np.cumsum([0, *map(len, new)]))
+    assert len(model.shards) > 8 and np.allclose(model.entropy(s, starts)[0], whole.entropy(s, starts)[0], rtol=1e-5)
