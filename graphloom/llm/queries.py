@@ -75,8 +75,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is recognised stay as they are. Null texts, those without letters and rejected ones go; repeated rows and
     null ids are judged like others; the model is learned from rows whose crc32 of the id mod 3 is not 1."""
     model = languages.learned(docs.where(remainder("doc_id", 3) != 1).select("text", "lang"))
-    out = languages.identified(docs, model, keep=[F.struct(*docs.columns).alias("row")])
-    return out.where("not rejected").select("row.*")
+    return languages.judged(docs, model, docs.columns).where("not rejected").select("kept.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
