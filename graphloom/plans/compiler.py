@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import AGGREGATES, FUNCTIONS, Value, arithmetic, compared, is_number
-from graphloom.operators.reach import reach
+from graphloom.operators.reach import closure, reach
 from graphloom.plans.parser import Clause, Node, Pattern, Rel, parsed
 from graphloom.plans.usage import ALL, conjuncts, contains, names, used
 from graphloom.sources.catalog import AnalysisError, EdgeTable, PropertyGraph
@@ -169,6 +169,7 @@ class _Query:
                 scope[r.var] = Bound("rel")
                 continue
             edges = self.edges(r, tables[i])
+            grouped = None
             if r.range is not None:
                 reached = [x for x in (b.labels or self.graph.nodes) if x in self.graph.nodes]
                 labels[i + 1] = tuple(x for x in labels[i + 1] if x in reached)
@@ -177,7 +178,16 @@ class _Query:
                         df = df.where(self.value(e, scope, df)[0])
                 starts = df.select(col(f"{a.var}.#id").alias("#id"), col(f"{a.var}.#label").alias("#label")).distinct()
                 edges = edges if edges is not None else starts.select(col("#id").alias("#src"), col("#label").alias("#src_label"), col("#id").alias("#dst"), col("#label").alias("#dst_label")).where("false")
-                edges = reach(starts, edges, *r.range).select(col("#s").alias("#src"), col("#sl").alias("#src_label"), col("#e").alias("#dst"), col("#el").alias("#dst_label"))
+                least, most = r.range
+                if most is None:
+                    found = closure(starts, edges, least)
+                    if b.var in scope:
+                        pairs = found.whole(found.pairs)
+                    else:
+                        grouped, pairs = found, found.pairs
+                else:
+                    pairs = reach(starts, edges, least, most)
+                edges = pairs.withColumnsRenamed({"#s": "#src", "#sl": "#src_label", "#e": "#dst", "#el": "#dst_label"})
             elif edges is None:
                 edges = df.select(col(f"{a.var}.#id").alias("#src"), col(f"{a.var}.#label").alias("#src_label"), col(f"{a.var}.#id").alias("#dst"), col(f"{a.var}.#label").alias("#dst_label"), F.lit("").alias("#type")).where("false")
             edges = edges.select(*(col(c).alias(f"{r.var}.{c}") for c in edges.columns))
@@ -187,6 +197,8 @@ class _Query:
                 df = self.bound(df, b, labels[i + 1]).join(edges, on & self.same(*end))
             else:
                 df = df.join(edges, on)
+                if grouped:
+                    df = grouped.whole(df, f"{r.var}.#dst", f"{r.var}.#dst_label", f"{r.var}.#blocks")
                 if self.skipped(b, labels[i + 1], tables[i]):
                     df = self.bare(df.where(col(f"{r.var}.#dst_label") == labels[i + 1][0]), b, labels[i + 1][0], col(f"{r.var}.#dst"))
                 else:
