@@ -12,7 +12,7 @@ Orders 1 and 2, the head, are broadcast: their size is bounded by the square of
 
 A text is lower-cased and its letters are kept; other characters are one space. The language of the lowest cross-entropy per
 character wins. A text is rejected if that cross-entropy lies far above what training texts of its length have; the
-border is calibrated on a bounded sample of training rows.
+border is calibrated on all training rows.
 
 The score is the chance of the language among those known, for a text of its cross-entropies and of 64 characters at most: longer
 texts would all have a score of 1.
@@ -55,8 +55,9 @@ CHUNK = 1 << 18
 MERGE = 1 << 19
 #: Columns that identified() adds.
 RESULTS = ("lang_pred", "score", "entropy", "n_symbols", "rejected")
-#: Training rows on which rejection is calibrated, about.
-CALIBRATION_ROWS = 6000
+#: Ranges that values are counted in when one of a given rank is sought, and values that are collected for it at most.
+RANGES = 4096
+RANKED = 1 << 16
 _U = np.uint64
 _SPACE = 32
 _table: np.ndarray | None = None
@@ -385,7 +386,50 @@ def _rows(found: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return who[order], g[order], n[order]
 
 
-def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS, shard_grams: int = SHARD_GRAMS) -> Model:
+def ranked(values: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
+    """The exact values at these ranks, from 0, of the n values in column v. Counts by range come to the driver, then the values of
+    the ranges that hold a rank, if these are few; a range of many is divided again."""
+    if n <= RANKED:
+        every = np.sort(values.toArrow().column("v").to_numpy())
+        return {r: float(every[r]) for r in ranks}
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
+    if lo == hi:
+        return dict.fromkeys(ranks, lo)
+    place = F.least(F.floor((F.col("v") - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1))
+    found, before = {}, 0
+    for r in sorted(values.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
+        inside = [k - before for k in ranks if before <= k < before + r["n"]]
+        if inside:
+            found |= {before + k: v for k, v in ranked(values.where(F.col("v").between(r["lo"], r["hi"])), inside, r["n"]).items()}
+        before += r["n"]
+    return found
+
+
+def quantiles(values: DataFrame, shares: list[float], n: int) -> list[float]:
+    """As numpy's, of the n values in column v."""
+    at = [(int((n - 1) * q), (n - 1) * q % 1) for q in shares]
+    found = ranked(values, sorted({min(k + i, n - 1) for k, _ in at for i in (0, 1)}), n)
+    return [found[k] + (found[min(k + 1, n - 1)] - found[k]) * part for k, part in at]
+
+
+def calibrated(got: DataFrame) -> tuple[float, float, float, float] | None:
+    """Model.usual of the cross-entropies (entropy, n_symbols) of all training texts; None if they are under 20."""
+    n = got.count()
+    if n < 20:
+        return None
+    e, x = F.col("entropy"), 1 / F.greatest(F.col("n_symbols"), F.lit(1))
+    (mean,) = quantiles(got.select(e.alias("v")), [0.5], n)
+    off = (e - mean) * (e - mean)
+    middle, most = quantiles(got.select(off.alias("v")), [0.5, 0.99], n)
+    y = F.least(off, F.lit(most))
+    xy, mx, my, spread = got.agg(F.avg(x * y), F.avg(x), F.avg(y), F.var_pop(x)).first()
+    within = max((xy - mx * my) / max(1e-12, spread), 1.0) if spread > 0 else 1.0
+    between = max(1e-4, middle)
+    (far,) = quantiles(got.select(((e - mean) / F.sqrt(between + within * x)).alias("v")), [0.999], n)
+    return mean, between, within, max(6.0, 1.5 * far)
+
+
+def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_grams: int = SHARD_GRAMS) -> Model:
     """A model of all rows of docs that have a language, with a calibrated border of rejection."""
     counts = persisted(counted(docs, text_col, lang_col))
     sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().toLocalIterator()}
@@ -422,19 +466,11 @@ def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", cal
     for r in fits.coalesce(shards).toLocalIterator():
         names[r["shard"]] = shared_file(spark, r["part"])
     model = Model(languages, head, floor, names)
-    total = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, calibration_rows / max(1, total.count()))
-    sample = total.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    got = identified(sample, model, keep=[]).where("rejected = false or lang_pred != 'und'").select("entropy", "n_symbols").toArrow()
-    e, m = got.column(0).to_numpy(), got.column(1).to_numpy()
-    if len(e) >= 20:
-        mean = float(np.median(e))
-        x, y = 1 / np.maximum(m, 1), np.minimum((e - mean) ** 2, np.quantile((e - mean) ** 2, 0.99))
-        within = float(max(1e-6, (x * y).mean() - x.mean() * y.mean()) / max(1e-12, x.var())) if x.var() > 0 else 1.0
-        within = max(within, 1.0)
-        between = float(max(1e-4, np.median((e - mean) ** 2)))
-        z = (e - mean) / np.sqrt(between + within * x)
-        model.usual = (mean, between, within, float(max(6.0, 1.5 * np.quantile(z, 0.999))))
+    # Dealt out, as a checkpoint would judge the texts twice.
+    got = identified(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), model, text_col, keep=[])
+    usual = calibrated(persisted(got.where("lang_pred != 'und'").select("entropy", "n_symbols").repartition(spark.sparkContext.defaultParallelism)))
+    if usual:
+        model.usual = usual
     return model
 
 
