@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("graphloom.llm")
 
-from graphloom.llm import languages  # noqa: E402
+from graphloom.llm import languages, queries  # noqa: E402
 
 ROWS = 12_000
 
@@ -33,3 +33,12 @@ def test_border_of_all_rows(spark, docs, monkeypatch):
     model = languages.learned(docs.select("text", "lang"))
     got = languages.identified(docs, model, keep=[]).where("lang_pred != 'und'").select("entropy", "n_symbols").toArrow()
     assert got.num_rows > 11_900 and np.allclose(model.usual, usual(got), rtol=1e-9)
+
+
+def test_language_stage_judges_by_all_training_rows(spark, docs, monkeypatch):
+    models, judged = [], languages.judged
+    monkeypatch.setattr(languages, "judged", lambda d, model, *a: models.append(model) or judged(d, model, *a))
+    queries.language_stage(spark, docs, "")
+    train = docs.where(queries.remainder("doc_id", 3) != 1)
+    got = languages.identified(train, models[-1], keep=[]).where("lang_pred != 'und'").select("entropy", "n_symbols").toArrow()
+    assert np.allclose(models[-1].usual, usual(got), rtol=1e-9)
