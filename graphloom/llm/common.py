@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -102,5 +103,13 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: Python workers live on and would keep the most that a task took."""
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if back:
+        back(0)
+
+
 def per_doc(counts_at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=counts_at, minlength=n)

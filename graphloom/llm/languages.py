@@ -25,7 +25,7 @@ a kept column of the name of a result gives way to it; an empty table gives no r
 from __future__ import annotations
 
 import mmap
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from itertools import pairwise
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from graphloom.llm.common import chunks, persisted, shared_file
+from graphloom.llm.common import chunks, persisted, shared_file, trim
 from graphloom.llm.words import mix
 
 ORDER = 5
@@ -330,11 +330,12 @@ def fitted(languages: list[str], grams: list[np.ndarray], counts: list[np.ndarra
     return Model(languages, head, floor, [fitted_shard(number, owner[which == i], g[which == i], c[which == i], less, head) for i in range(shards)])
 
 
-def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, gram (the bytes of ORDER symbols of 32 bits), share (see share_of), n: over all rows with a language."""
+def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fold: Column | None = None, folds: Sequence[int] = ()) -> DataFrame:
+    """lang, gram (the bytes of ORDER symbols of 32 bits), share (see share_of), n: over all rows with a language; and n_k for each k of
+    folds: over those whose fold is k, null if there are none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
+        names: dict[tuple[int, str], int] = {}
         key, gram, lang, n = np.zeros(0, _U), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         new: list[tuple] = []
         size = 0
@@ -351,7 +352,7 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             size = 0
 
         for b in batches:
-            own = np.array([names.setdefault(x, len(names)) for x in b.column("l").to_pylist()], np.int64)
+            own = np.array([names.setdefault(x, len(names)) for x in zip(b.column("f").to_pylist(), b.column("l").to_pylist(), strict=True)], np.int64)
             for lo, hi, data, offsets in chunks(b.column("t"), CHUNK):
                 s, starts, _ = symbols(data, offsets)
                 inside = np.ones(len(s), bool)
@@ -366,15 +367,16 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 if size > MERGE:
                     merged()
         merged()
-        labels = np.array(list(names), object)
+        trim()
+        folds, labels = np.array([f for f, _ in names], np.int32), np.array([x for _, x in names], object)
         for lo in range(0, len(key), 50_000):
             part = slice(lo, lo + 50_000)
             raw = np.ascontiguousarray(gram[part].astype("<u4")).tobytes()
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(key[part]), [None, pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(labels[lang[part]], pa.string()), flat.cast(pa.binary()), pa.array(share_of(gram[part][:, 2], gram[part][:, 3])), pa.array(n[part])], names=["lang", "gram", "share", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(folds[lang[part]]), pa.array(labels[lang[part]], pa.string()), flat.cast(pa.binary()), pa.array(share_of(gram[part][:, 2], gram[part][:, 3])), pa.array(n[part])], names=["fold", "lang", "gram", "share", "n"])
 
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(count, "lang string, gram binary, share int, n bigint").groupBy("lang", "gram", "share").agg(F.sum("n").alias("n"))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select((F.lit(0) if fold is None else fold).cast("int").alias("f"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(count, "fold int, lang string, gram binary, share int, n bigint").groupBy("lang", "gram", "share").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") == k, F.col("n"))).alias(f"n_{k}") for k in folds))
 
 
 def _rows(found: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -431,7 +433,20 @@ def calibrated(got: DataFrame) -> tuple[float, float, float, float] | None:
 
 def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_grams: int = SHARD_GRAMS) -> Model:
     """A model of all rows of docs that have a language, with a calibrated border of rejection."""
-    counts = persisted(counted(docs, text_col, lang_col))
+    return _learned(persisted(counted(docs, text_col, lang_col)), docs, text_col, lang_col, shard_grams)
+
+
+def learned_apart(docs: DataFrame, fold: Column, folds: list[int], text_col: str = "text", lang_col: str = "lang", shard_grams: int = SHARD_GRAMS) -> Iterator[Model]:
+    """For each of the folds the model of all rows outside it that have a language, so that no text is judged by a model that has learned
+    it. The rows are counted once."""
+    counts = persisted(counted(docs, text_col, lang_col, fold, folds))
+    for k in folds:
+        others = counts.select("lang", "gram", "share", (F.col("n") - F.coalesce(f"n_{k}", F.lit(0))).alias("n")).where("n > 0")
+        yield _learned(others, docs.where(fold != k), text_col, lang_col, shard_grams)
+
+
+def _learned(counts: DataFrame, docs: DataFrame, text_col: str, lang_col: str, shard_grams: int) -> Model:
+    """The model of docs, of which these are the counts."""
     sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().toLocalIterator()}
     languages = sorted(sizes)
     if not languages:
@@ -492,6 +507,7 @@ def judged(docs: DataFrame, model: Model, keep: list[str | Column], text_col: st
                 parts.append(m.judge(data, offsets))
             who, score, low, n, rejected = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), *(np.zeros(0) for _ in range(2)), np.zeros(0, int), np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(names[who], pa.string()), pa.array(score), pa.array(low), pa.array(n.astype(np.int64)), pa.array(rejected)], names=["kept", "lang_pred", "score", "entropy", "n_symbols", "rejected"])
+        trim()
 
     kinds = dict(zip(RESULTS, (StringType(), DoubleType(), DoubleType(), LongType(), BooleanType()), strict=True))
     return rows.mapInArrow(judge, StructType([StructField("kept", rows.schema["kept"].dataType), *(StructField(k, t) for k, t in kinds.items())]))

@@ -42,3 +42,18 @@ def test_language_stage_judges_by_all_training_rows(spark, docs, monkeypatch):
     train = docs.where(queries.remainder("doc_id", 3) != 1)
     got = languages.identified(train, models[-1], keep=[]).where("lang_pred != 'und'").select("entropy", "n_symbols").toArrow()
     assert np.allclose(models[-1].usual, usual(got), rtol=1e-9)
+
+
+def test_language_stage_learns_all_rows_and_judges_by_the_others(spark):
+    rng = np.random.default_rng(4)
+    letters = {"aa": "abcde ", "bb": "fghij ", "cc": "klmno "}
+    rows = [(i, "".join(rng.choice(list(letters["bb" if i % 2 else "aa"]), 60)), "bb" if i % 2 else "aa") for i in range(1500)]
+    # A word of rare letters, over and over: strange to every other row.
+    odd = [(i, (" " + "".join(rng.choice([chr(c) for c in range(0x400, 0x4FF) if chr(c).isalpha()], 5, False))) * 12, "aa") for i in range(2000, 2030)]
+    # A language whose labelled rows are all of one fold, and rows of it without a label.
+    fold = {r["id"]: r["f"] for r in spark.range(3000, 4500).select("id", queries.remainder("id", 3).alias("f")).collect()}
+    third = [(i, "".join(rng.choice(list(letters["cc"]), 60)), "cc" if f == 1 else None) for i, f in fold.items() if f == 1 or i % 50 == 0]
+    docs = spark.createDataFrame(rows + odd + third, "doc_id bigint, text string, lang string").repartition(4)
+    kept = {r["doc_id"] for r in queries.language_stage(spark, docs, "").collect()}
+    assert {i for i, _, _ in rows} <= kept and not kept & {i for i, _, _ in odd}
+    assert {i for i, _, x in third if x is None} <= kept
