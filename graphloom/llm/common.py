@@ -12,6 +12,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,17 +61,27 @@ def persisted(df: DataFrame) -> DataFrame:
 
 
 def shared_file(spark: SparkSession, data: bytes) -> str:
-    """Writes a file to the shared folder, from where executors fetch it before their next tasks; its name for SparkFiles.get."""
+    """Writes a file to the shared folder; what fetched() takes in a task. A folder of the file system (file:) is read where it is, as the
+    executors have it too. From other stores each executor fetches the file before its next tasks; such copies stay on every executor's
+    disk, twice, until the session ends."""
     context = spark.sparkContext
     name = f"file-{uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
     out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
     out.write(data)
     out.close()
+    where = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if where.getScheme() == "file":
+        return where.getPath()
     context.addFile(path.toString())
     return name
 
 
+def fetched(name: str) -> str:
+    """The path of a file of shared_file(), in a task or on the driver."""
+    return name if os.path.isabs(name) else SparkFiles.get(name)
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit; otherwise as it is, for a shuffled join."""
     most = limit // row_bytes

@@ -7,7 +7,7 @@ the number of distinct ones.
 
 It is therefore fitted and kept in shards. The symbols third and second from the end of an n-gram name its shard, so that a shard
 has all that orders 3 to 5 need at a place of a text: the n-grams, their contexts and the counts they continue. Tasks fit one shard
-each. The driver holds one at a time, on its way to a file in the shared folder that each executor fetches and maps into memory.
+each. The driver holds one at a time, on its way to a file in the shared folder that executors map into memory (see shared_file).
 Orders 1 and 2, the head, are broadcast: their size is bounded by the square of the alphabet, whatever the corpus.
 
 A text is lower-cased and its letters are kept; other characters are one space. The language of the lowest cross-entropy per
@@ -33,12 +33,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from graphloom.llm.common import chunks, persisted, shared_file, trim
+from graphloom.llm.common import chunks, fetched, persisted, shared_file, trim
 from graphloom.llm.words import mix
 
 ORDER = 5
@@ -222,7 +221,7 @@ class Model:
 
     def shard(self, i: int) -> dict[int, Level]:
         x = self.shards[i]
-        return _opened(SparkFiles.get(x)) if isinstance(x, str) else x or {}
+        return _opened(fetched(x)) if isinstance(x, str) else x or {}
 
     def entropy(self, s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(nats per symbol of each text in each language, symbols of each text)."""
