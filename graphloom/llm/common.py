@@ -6,7 +6,7 @@ import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from uuid import uuid4
 
@@ -122,5 +122,15 @@ def trim() -> None:
         back(0)
 
 
+def trimming(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task of a mapInArrow, followed by trim() when what it held is gone."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        trim()
+
+    return run
+
+
 def per_doc(counts_at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=counts_at, minlength=n)

@@ -21,7 +21,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, persisted, sized
+from graphloom.llm.common import chunks, persisted, sized, trimming
 from graphloom.llm.words import LOW, HashIndex, Words, mix, split
 
 WINDOW = 10
@@ -253,7 +253,7 @@ def _scan(docs: DataFrame, automaton: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x[1] for x in got], pa.int64()), _spans(got), pa.array(names, pa.list_(pa.string())), pa.array([x[5] for x in got], pa.int64())], names=[*keep, "n_words", "spans", "items", "longest"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "t")
-    return docs.mapInArrow(scan, f"{kept}, n_words bigint, spans {_SPANS}, items array<string>, longest bigint")
+    return docs.mapInArrow(trimming(scan), f"{kept}, n_words bigint, spans {_SPANS}, items array<string>, longest bigint")
 
 
 def _further(docs: DataFrame, n: int, built: Callable[[int], Broadcast]) -> DataFrame | None:
@@ -344,7 +344,7 @@ def decontaminated(
                     b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.column(k).type))
             yield b.filter(pa.array(keep))
 
-    return rows.mapInArrow(clean, schema)
+    return rows.mapInArrow(trimming(clean), schema)
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, persisted, sized
+from graphloom.llm.common import chunks, persisted, sized, trimming
 from graphloom.llm.components import components
 from graphloom.llm.words import mix, shingles, split
 
@@ -97,7 +97,7 @@ def described(docs: DataFrame, size: int, number: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), *(pa.array(fp[k].view(np.int64), mask=n == 0) for k in (0, 1)), pa.array(n.astype(np.int64)), flat], names=["id", "key", "fp1", "fp2", "n", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"id {kind}, key bigint, fp1 bigint, fp2 bigint, n bigint, bands array<bigint>")
+    return docs.mapInArrow(trimming(describe), f"id {kind}, key bigint, fp1 bigint, fp2 bigint, n bigint, bands array<bigint>")
 
 
 def linked(sizes: np.ndarray, flat: np.ndarray, ends: np.ndarray, ask: np.ndarray, threshold: float) -> np.ndarray:
@@ -265,7 +265,7 @@ def _links(docs: DataFrame, wanted: DataFrame, size: int, threshold: float, bloc
 
     near = sized(wanted.select("node", "places", F.col("one.id").alias("i"), F.col("one.key").alias("k")), 512)
     rows = docs.select(F.col("id"), "key", "t").join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("node", "places", "t")
-    rows = rows.mapInArrow(spread, f"node {_NODE}, places array<struct<bucket:bigint,members:bigint>>, flat binary")
+    rows = rows.mapInArrow(trimming(spread), f"node {_NODE}, places array<struct<bucket:bigint,members:bigint>>, flat binary")
     # The same row of a repeated document comes twice; the second is dropped with its place.
     rows = rows.select("node", "flat", F.col("places.bucket").alias("buckets"), F.explode("places").alias("p")).select("node", "flat", "buckets", F.col("p.bucket").alias("bucket"), F.greatest(F.lit(1), F.ceil(F.col("p.members") / block)).cast("int").alias("blocks"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
@@ -273,4 +273,4 @@ def _links(docs: DataFrame, wanted: DataFrame, size: int, threshold: float, bloc
     rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "flat", "buckets")
     # All classes of a pair of blocks come to one task; dropDuplicates keeps this partitioning.
     rows = rows.repartition("bucket", "lo", "hi").dropDuplicates(["bucket", "lo", "hi", "node"])
-    return rows.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, f"a {_NODE}, links bigint, b {_NODE}")
+    return rows.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(trimming(compare), f"a {_NODE}, links bigint, b {_NODE}")

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import trimming
+
 LENGTH = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 20
@@ -181,5 +183,5 @@ def packed(
         if ids:
             yield from flush()
 
-    out = docs.mapInArrow(pack, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
+    out = docs.mapInArrow(trimming(pack), f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)

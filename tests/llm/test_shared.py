@@ -1,6 +1,7 @@
-"""A language model's files: read in the shared folder where that is mounted, else fetched."""
+"""A language model's files: read in the shared folder where that is mounted, else fetched. Memory that tasks give back."""
 
 import os
+import weakref
 
 import pytest
 
@@ -40,3 +41,18 @@ def test_models_of_any_store_judge_alike(spark, docs, monkeypatch, tmp_path):
     names = [x for x in far.shards if x]
     assert added(spark) == before + len(names) and sorted(names) == sorted(x for x in os.listdir(tmp_path) if x[0] != ".")
     assert all(os.path.isfile(x) for x in mounted.shards if x)
+
+
+def test_memory_is_given_back_after_what_a_task_held_is_gone(monkeypatch):
+    class Held:
+        pass
+
+    seen, left = [], []
+
+    def task(batches):
+        held = Held()
+        left.append(weakref.ref(held))
+        yield from batches
+
+    monkeypatch.setattr(common, "trim", lambda: seen.append(left[0]() is None))
+    assert list(common.trimming(task)(iter([1, 2]))) == [1, 2] and seen == [True]
